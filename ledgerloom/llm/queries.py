@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_prefix, licenses, packed_tokens, token_counts
+from ledgerloom.llm import bpe_prefix, licenses, mixing, packed_tokens, quality, secrets, token_counts
 from ledgerloom.llm.runtime import ready
 
 
@@ -21,10 +21,25 @@ def op2_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens.read_documents(files)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written("base_spans"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(quality.measure(_table(spark, sf_dir, "documents")))
+    base = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE_MASK)) != 0
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v1").alias("kept"), "fail_bits")
+
+
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     both = bpe_prefix.decode(bpe_prefix.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
@@ -36,7 +51,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packed_tokens, op6_token_counts, op9_bpe_prefix, op10_licenses)}
+    return {f.__name__: f for f in (op2_packed_tokens, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
