@@ -30,12 +30,13 @@ from ledgerloom.llm.runtime import map_texts, text_or_empty
 class Vocabulary:
     """Ranks of byte strings, which pairs of tokens may stand together, and the ids' bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pair_memo: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], pair_memo: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.size_of = {i: len(b) for b, i in ranks.items()}
-        self.ends = {b[i:] for b in ranks for i in range(len(b))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Every end of a token: the token it is itself, or -1.
+        self.ends = dict.fromkeys((b[i:] for b in ranks for i in range(len(b))), -1) | ranks
+        self.pairs: dict[int, bool] = {}
         self.pair_memo = pair_memo
         self.stable = {i for b, i in ranks.items() if len(b) == 1}
         self.checked = set(self.stable)
@@ -65,11 +66,11 @@ class Vocabulary:
         return token in self.stable
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= self.pair_memo:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
 
@@ -86,19 +87,20 @@ class PrefixEncoder:
         """Extend the text; the entries there are stay."""
         self.piece += more
         v, last, piece = self.vocabulary, self.last, bytes(self.piece)
-        ranks, ends, pairs = v.ranks, v.ends, v.pairs
+        ends, pair = v.ends.get, v.pairs.get
         for end in range(len(last), len(piece) + 1):
             start, fit = end - 1, None
-            while start >= 0 and (tail := piece[start:end]) in ends:
-                token = ranks.get(tail)
-                if token is not None:
-                    if start == 0:
-                        ok = v.may_stand(token)
-                    else:
-                        before = last[start]
-                        ok = pairs.get((before, token))
+            while start >= 0:
+                token = ends(piece[start:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    if start:
+                        ok = pair(last[start] << 32 | token)
                         if ok is None:
-                            ok = v.may_follow(before, token)
+                            ok = v.may_follow(last[start], token)
+                    else:
+                        ok = v.may_stand(token)
                     if ok:
                         fit = token
                         break
@@ -107,6 +109,16 @@ class PrefixEncoder:
                 raise ValueError(f"no token ends {piece[:end][-16:]!r}; the vocabulary lacks single bytes")
             last.append(fit)
 
+    def become(self, piece: bytes) -> None:
+        """Turn into another text, keeping the entries of the common beginning."""
+        old, same = self.piece, 0
+        for a, b in zip(old, piece):  # noqa: B905  up to the shorter
+            if a != b:
+                break
+            same += 1
+        del old[same:], self.last[same + 1 :]
+        self.append(piece[same:])
+
     def edit(self, at: int, removed: int, inserted: bytes) -> None:
         """Replace ``removed`` bytes at ``at``; only entries after ``at`` are filled anew."""
         rest = bytes(inserted) + bytes(self.piece[at + removed :])
@@ -123,18 +135,20 @@ class PrefixEncoder:
 
 
 class PackedPieces(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers; fills itself."""
+    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.vocabulary.ranks.get(raw)  # a piece that is itself in the ranks is that token, whatever its merges
-        ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, raw).tokens()
-        self[piece] = packed = np.array(ids, "<u4").tobytes()
-        return packed
+    def learn(self, pieces: set[str]) -> None:
+        """Add pieces; in sorted order each starts from the table of the one before."""
+        ranks, table = self.vocabulary.ranks, PrefixEncoder(self.vocabulary)
+        for raw, piece in sorted((p.encode(), p) for p in pieces):
+            whole = ranks.get(raw)  # a piece that is itself in the ranks is that token, whatever its merges
+            if whole is None:
+                table.become(raw)
+            self[piece] = np.array([whole] if whole is not None else table.tokens(), "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -142,29 +156,35 @@ def _codec(ranks_file: str, pattern: str):
     import regex
 
     vocabulary = Vocabulary.from_file(ranks_file)
-    return vocabulary, PackedPieces(vocabulary), regex.compile(pattern).findall
+    return PackedPieces(vocabulary), regex.compile(pattern).findall
+
+
+@lru_cache(maxsize=4)
+def _bytes_of(ranks_file: str) -> dict[int, bytes]:
+    with open(ranks_file, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo_size: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo_size: int = 300_000) -> DataFrame:
     """Rows (id, n_tokens, ids) with the ids as little-endian unsigned 32-bit integers."""
 
     def worker(texts: list[str]):
-        _, pieces, cut = _codec(ranks_file, pattern)
-        out = []
-        for text in texts:
-            if len(pieces) > memo_size:
-                pieces.clear()
-            out.append(b"".join(map(pieces.__getitem__, cut(text))))
+        pieces, cut = _codec(ranks_file, pattern)
+        if len(pieces) > memo_size:
+            pieces.clear()
+        cuts = [cut(t) for t in texts]
+        pieces.learn(set().union(*cuts) - pieces.keys())
+        out = [b"".join(map(pieces.__getitem__, c)) for c in cuts]
         return [("n_tokens", pa.array([len(x) // 4 for x in out], pa.int64())), ("ids", pa.array(out, pa.binary()))]
 
     return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`")}, worker, "n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``: the bytes that the ids stand for; null where the ids are null."""
 
     def worker(ids: list[bytes | None]):
-        of = _codec(ranks_file, pattern)[0].bytes_of
+        of = _bytes_of(ranks_file)
         out = [None if x is None else b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
         return [("decoded", pa.array(out, pa.binary()))]
 

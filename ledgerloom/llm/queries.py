@@ -42,7 +42,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe_prefix.decode(bpe_prefix.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    both = bpe_prefix.decode(bpe_prefix.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,6 +17,10 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+#: Rows that a Python worker holds as Python values at once.
+SLICE = 512
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it.
 
@@ -52,10 +56,10 @@ def text_or_empty(column: str) -> Column:
 
 
 def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], worker: Callable, schema: str) -> DataFrame:
-    """Run ``worker(table of keep, list of texts) -> RecordBatch columns`` over Arrow batches, without a shuffle.
+    """Run ``worker`` over Arrow batches of at most ``SLICE`` rows, without a shuffle.
 
-    ``worker`` gets the batch without its text column and the texts as Python values; it returns the columns to add as
-    a list of arrays, in the order of ``schema`` after the kept ones.
+    ``worker`` gets the texts as Python values; it returns the columns to add as pairs of name and array, in the order of
+    ``schema``, which follow the kept ones.
     """
     ready(df.sparkSession)
     names = list(keep)
@@ -63,7 +67,7 @@ def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], worker: Call
     heads = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(names, thin.schema.fields[:-1], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             made = worker(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(a for _, a in made)], names=[*names, *(n for n, _ in made)])
 
