@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_prefix, licenses, mixing, packed_tokens, quality, secrets, token_counts
+from ledgerloom.llm import bpe_prefix, language_id, licenses, mixing, packed_tokens, quality, secrets, token_counts
 from ledgerloom.llm.runtime import ready
 
 
@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    sample = language_id.learn(docs.where(fold != 2))
+    return language_id.identify(docs, sample, keep={"held_out": F.coalesce(fold == 2, F.lit(False))})
+
+
 def op2_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = packed_tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return packed_tokens.read_documents(files)
@@ -51,7 +58,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packed_tokens, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
