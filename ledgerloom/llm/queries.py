@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_prefix, language_id, licenses, mixing, packed_tokens, quality, secrets, token_counts
+from ledgerloom.llm import bpe_prefix, language_id, licenses, mixing, mtree, packed_tokens, quality, secrets, token_counts
 from ledgerloom.llm.runtime import ready
 
 
@@ -28,6 +28,10 @@ def op2_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens.read_documents(files)
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written("base_spans"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
@@ -58,8 +62,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op3_mtree, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
+
+
+_TOP = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mtree": _TOP}
