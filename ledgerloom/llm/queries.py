@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_prefix, language_id, licenses, mixing, mtree, packed_tokens, quality, secrets, token_counts
+from ledgerloom.llm import bpe_prefix, jaccard, language_id, licenses, mixing, mtree, packed_tokens, quality, secrets, token_counts
 from ledgerloom.llm.runtime import ready
 
 
@@ -45,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(quality.measure(_table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE_MASK)) != 0
@@ -62,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op3_mtree, op4_secrets, op5_mixing, op6_token_counts, op8_quality, op9_bpe_prefix, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op3_mtree, op4_secrets, op5_mixing, op6_token_counts, op7_jaccard, op8_quality, op9_bpe_prefix, op10_licenses)}
 
 
 _TOP = """
