@@ -23,9 +23,9 @@ are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,11 +104,9 @@ class WordEncoder:
     """The library's ids of texts, through a table of the words between ASCII spaces.
 
     The normaliser and the pre-tokeniser drop white space and never look across it, so a text's ids are those of its
-    words. Words of texts without combining marks are folded (A to Z) and lose a closing comma or point before the
-    look-up, which the library would split off as well.
+    words. Texts without combining marks are folded (A to Z) before the look-up, as the library would fold them.
     """
 
-    _CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
     _HIGH = bytes(range(0xCC, 256))
 
     def __init__(self, tokenizer_file: str, end_id: int, table_size: int):
@@ -121,25 +119,46 @@ class WordEncoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.table: dict[bytes, bytes] = {b"": b""}
         self.table_size = table_size
-        # Folding before the library is safe only if the library folds and cuts there itself.
-        a, b = (self.library.encode(x, add_special_tokens=False).ids for x in ("Ab, cD.", "ab , cd ."))
+        # Folding before the library is safe only if the library folds itself.
+        a, b = (self.library.encode(x, add_special_tokens=False).ids for x in ("Ab, cD.", "ab, cd."))
         self.folds = a == b
 
+    @staticmethod
+    def _gaps(found: list) -> Iterator[int]:
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                yield at
+        except ValueError:
+            return
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.table) > self.table_size:  # short words come again most often
+            self.table = {w: x for w, x in self.table.items() if len(w) <= 8}
+            if len(self.table) > self.table_size // 2:
+                self.table = {b"": b""}
         table = self.table
-        if len(table) > self.table_size:
-            table.clear()
-        cut = []
+        held, new = [], set()
         for t in texts:
             if self.folds and b"<|" not in t and len(t.translate(None, self._HIGH)) == len(t):
-                t = self._CLOSING.sub(rb" \1", t.lower() + b"\n")
-            cut.append(t.replace(b"\n", b" ").split(b" "))
-        new = list({w for ws in cut for w in ws if w not in table})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+                t = t.lower()
+            words = t.replace(b"\n", b" ").split(b" ")
+            found, open_ = list(map(table.get, words)), []
+            for at in self._gaps(found):
+                open_.append((at, words[at]))
+                new.add(words[at])
+            held.append((found, open_))
+        new_words = list(new)
+        for at in range(0, len(new_words), 20_000):
+            part = new_words[at : at + 20_000]
             made = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            table.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
-        return [b"".join([*map(table.__getitem__, ws), self.end]) for ws in cut]
+            table.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
+        for found, open_ in held:
+            for at, word in open_:
+                found[at] = table[word]
+            found.append(self.end)
+        return [b"".join(found) for found, _ in held]
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +169,7 @@ def _encoder(tokenizer_file: str, end_id: int, table_size: int) -> WordEncoder:
     return WordEncoder(tokenizer_file, end_id, table_size)
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, shard_ids: int = 1_000_000, table_size: int = 800_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, shard_ids: int = 1_000_000, table_size: int = 1_500_000) -> DataFrame:
     """Encode and write; returns the data set read back: (part, shard, n_ids, doc_ids, image), an image of about ``shard_ids`` ids a row."""
     spark = ready(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
