@@ -6,28 +6,10 @@ aggregate and split by adaptive execution in the join. Rounds are written to the
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names, or an own one where none is set (tests)."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ledgerloom.storage import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -65,3 +47,42 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", keys: tuple[
     if keys:
         return pairs.select(*[F.col("a")[c].alias(c) for c in keys], F.col("a.node").alias("node"), F.col("b.node").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def window_components(edges: DataFrame, window: str = "w", left: str = "src", right: str = "dst", local_limit: int = 2_000_000) -> DataFrame:
+    """Rows (window, node, component) of every end of an edge, self-loops included; component is its least node.
+
+    Windows of at most ``local_limit`` edges (checked) are solved one a task over Arrow columns; if any has more, all go
+    through the distributed rounds.
+    """
+    w, a, b = F.col(window), F.col(left), F.col(right)
+    thin = edges.select(w.alias("w"), a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    largest = thin.groupBy("w").count().agg(F.max("count")).first()[0] or 0
+    if largest > local_limit:
+        nodes = thin.select("w", F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = components(thin, keys=("w",)).alias("f")
+        out = nodes.alias("n").join(found, (F.col("n.w") == F.col("f.w")) & (F.col("n.node") == F.col("f.node")), "left")
+        return out.select(F.col("n.w").alias(window), F.col("n.node").alias("node"), F.coalesce(F.col("f.component"), F.col("n.node")).alias("component"))
+
+    def solve(group):
+        import numpy as np
+        import pyarrow as pa
+
+        ends = np.concatenate([group.column("a").to_numpy(zero_copy_only=False), group.column("b").to_numpy(zero_copy_only=False)])
+        names, at = np.unique(ends, return_inverse=True)
+        u, v = at[: len(at) // 2], at[len(at) // 2 :]
+        label = np.arange(len(names))
+        while True:  # hook every edge's larger label to the smaller, then jump to the roots
+            low = np.minimum(label[u], label[v])
+            before = label.copy()
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+            if np.array_equal(before, label):
+                break
+        one = group.column("w")[0].as_py()
+        return pa.table({window: pa.array([one] * len(names), group.schema.field("w").type), "node": pa.array(names), "component": pa.array(names[label])})
+
+    kinds = dict(thin.dtypes)
+    return thin.groupBy("w").applyInArrow(solve, f"`{window}` {kinds['w']}, node {kinds['a']}, component {kinds['a']}")
