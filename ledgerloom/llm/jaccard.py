@@ -10,8 +10,8 @@ matrix. The steps:
 2. A second pass gives every class's prefix: if n is its size, the first n - ceil(0.8 n) + 1 shingles of that order. Two
    linked sets share a shingle of their prefixes. Prefix entries meet by shingle, frequent shingles in as many parts as
    their count asks for; a posting streams through, and only its entries with company stay.
-3. Every member of a posting is paired with the posting's first, if their sizes and the positions of the shared shingle
-   allow the bound. Those pairs' overlaps are computed, and linked pairs joined to components.
+3. Every member of a posting is paired with the posting's most central one, that with the fewest rarer shingles, if their
+   sizes and the positions of the shared shingle allow the bound. Those pairs' overlaps are computed, and linked pairs joined to components.
 4. Members of a posting that are still in different components are paired with each other under the same bounds, so no
    link between components goes unseen; their overlaps are computed too and the components joined again.
 
@@ -33,66 +33,98 @@ table gives an empty result; other columns are not read, or carried by ``drop_ne
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import SLICE, materialise, ready, text_or_empty
 from ledgerloom.operators.components import components
 
-WIDTH, ORDER, STRETCH, FREQUENT, PART = 5, 500_000, 2_000_000, 4, 4096
+WIDTH, ORDER, STRETCH, FREQUENT, PART = 5, 1_000_000, 4_000_000, 2, 4096
 #: Fixed odd multipliers, one a place in the shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_NONE = np.zeros(0, np.uint64)
 
 
-class _WordHashes(dict):
-    """Word to 64-bit hash, filled as words come; emptied when large, which changes no hash."""
+#: A word's hash is the sum of its bytes' values times powers of _BASE, by place in the word, modulo 2**64.
+_BASE = 0x9FB21C651E98DF25
+_VALUES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-_hashes = _WordHashes()
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word of a stretch of bytes that starts and ends with white space."""
+    space = _IS_SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, last = edges[::2], edges[1::2]
+    room = 1 << max(20, len(data).bit_length())
+    terms = _VALUES[data]
+    terms *= _powers(_BASE, room)[: len(data)]
+    terms[space] = 0
+    sums = np.cumsum(terms, dtype=np.uint64)
+    return first, (sums[last - 1] - sums[first - 1]) * _powers(pow(_BASE, -1, 1 << 64), room)[first]
+
+
+def _stretches(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
+    """Runs of texts of about so many bytes; a longer text is alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
-    import xxhash
+    return [s for part in _stretches(texts) for s in _shingle_sets(part)]
 
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), np.uint64, int(sizes.sum()))
+
+def _shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
+    starts, flat = _word_hashes(data)
+    bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])).tolist()
     n = len(flat) - WIDTH + 1
     if n > 0:
         grams = flat[:n] * _PLACES[0]
         for k in range(1, WIDTH):
-            grams = (grams ^ (grams >> np.uint64(29))) + flat[k : n + k] * _PLACES[k]
-        grams = (grams ^ (grams >> np.uint64(32))) * _PLACES[1]
+            grams ^= grams >> np.uint64(29)
+            grams += flat[k : n + k] * _PLACES[k]
+        grams ^= grams >> np.uint64(32)
+        grams *= _PLACES[1]
         grams ^= grams >> np.uint64(29)
-    out, at = [], 0
-    for w, size in zip(words, sizes.tolist(), strict=True):
+    out = []
+    for text, at, end in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        size = end - at
         if size >= WIDTH:
-            one = np.sort(grams[at : at + size - WIDTH + 1])
-            out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+            one = np.sort(grams[at : end - WIDTH + 1])
+            fresh = np.empty(len(one), bool)
+            fresh[0] = True
+            np.not_equal(one[1:], one[:-1], out=fresh[1:])
+            out.append(one if fresh.all() else one[fresh])
         elif size:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=size)], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), seed=size)], np.uint64))
         else:
-            out.append(np.zeros(0, np.uint64))
-        at += size
+            out.append(_NONE)
     return out
 
 
 def class_of(shingles: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).astype(np.int64))
+    return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "big", signed=True)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -190,9 +222,9 @@ _POSTINGS = "h long, cid long, n int, pos int, pcid long, pn int, ppos int"
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """Step 2, second half: the entries that have company, each with the first of its part of the posting."""
+    """Step 2, second half: the entries that have company, each with the most central of its part of the posting."""
     spark = entries.sparkSession
-    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h", "part").sortWithinPartitions("h", "part", "cid")
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h", "part").sortWithinPartitions("h", "part", "pos", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[np.ndarray] | None = None  # the last entry so far, held back until it is known whether it has company
