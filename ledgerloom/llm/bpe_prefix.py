@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import map_texts, text_or_empty
+from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
 
 
 class Vocabulary:
@@ -165,6 +165,9 @@ def _bytes_of(ranks_file: str) -> dict[int, bytes]:
         return {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
 
 
+caches("bpe", _codec.cache_clear, _bytes_of.cache_clear)
+
+
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo_size: int = 300_000) -> DataFrame:
     """Rows (id, n_tokens, ids) with the ids as little-endian unsigned 32-bit integers."""
 
@@ -177,7 +180,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         out = [b"".join(map(pieces.__getitem__, c)) for c in cuts]
         return [("n_tokens", pa.array([len(x) // 4 for x in out], pa.int64())), ("ids", pa.array(out, pa.binary()))]
 
-    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`")}, worker, "n_tokens long, ids binary")
+    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`")}, worker, "n_tokens long, ids binary", "bpe")
 
 
 def decode(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFrame:
@@ -189,4 +192,4 @@ def decode(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFra
         return [("decoded", pa.array(out, pa.binary()))]
 
     keep = {c: F.col(f"`{c}`") for c in encoded.columns if c != "decoded"}
-    return map_texts(encoded, F.col(f"`{ids_col}`"), keep, worker, "decoded binary")
+    return map_texts(encoded, F.col(f"`{ids_col}`"), keep, worker, "decoded binary", "bpe")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import SLICE, materialise, ready, text_or_empty
+from ledgerloom.llm.runtime import SLICE, caches, enter, materialise, ready, text_or_empty
 from ledgerloom.operators.components import components
 
 WIDTH, ORDER, STRETCH, FREQUENT, PART = 5, 1_000_000, 4_000_000, 2, 4096
@@ -123,6 +123,9 @@ def _shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+caches("jaccard", _powers.cache_clear)
+
+
 def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "big", signed=True)
 
@@ -133,6 +136,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _first_seen(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, np.ndarray]]:
     """Classes with their sets, each once a task; sets without shingles are left out."""
+    enter("jaccard")
     seen: set[int] = set()
     for b in batches:
         for at in range(0, b.num_rows, SLICE):
@@ -150,13 +154,17 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b", "n"]
 
-        def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def frequent(used: int) -> pa.RecordBatch:
+            part = stretch[:used]
+            part.sort()
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if used else np.zeros(1, int)
+            n = np.diff(edges)
             often = n >= FREQUENT
-            h, n = h[often], n[often]
+            h, n = part[edges[:-1][often]], n[often]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), _signed(h), pa.array(n)], names=names)
 
-        held, size, seen = [], 0, set()
+        enter("jaccard")
+        stretch, size, seen = np.empty(STRETCH, np.uint64), 0, set()
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
@@ -166,12 +174,14 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
                 for c, s in zip(cids, sets, strict=True):
                     if c is not None and c not in seen:
                         seen.add(c)
-                        held.append(s)
-                        size += len(s)
-                if size > STRETCH:
-                    yield frequent(held)
-                    held, size = [], 0
-        yield frequent(held)
+                        while len(s):
+                            room = min(len(s), STRETCH - size)
+                            stretch[size : size + room] = s[:room]
+                            s, size = s[room:], size + room
+                            if size == STRETCH:
+                                yield frequent(size)
+                                size = 0
+        yield frequent(size)
 
     made = materialise(thin.mapInArrow(run, "kind int, a long, b long, n long"), "classes")
     return made.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cid"), "n"), made.where("kind = 1").select(F.col("b").alias("h"), "n")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import map_texts, text_or_empty
+from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
 
 PASSAGES, PASSAGE, LETTERS, BLOCK = 64, 600, 250, 1024
 UNKNOWN = "und"
@@ -177,6 +177,9 @@ def cross_parser(sample: Sample) -> CrossParser:
     return CrossParser(sample)
 
 
+caches("languages", cross_parser.cache_clear)
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", passages: int = PASSAGES, passage: int = PASSAGE) -> Sample:
     """The bounded sample of every label, on the driver."""
     t, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string")
@@ -196,4 +199,4 @@ def identify(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col:
         made = cross_parser(sample).predict(texts)
         return [("lang_pred", pa.array([a for a, _ in made], pa.string())), ("score", pa.array([b for _, b in made], pa.float64()))]
 
-    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`"), **(keep or {})}, worker, "lang_pred string, score double")
+    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`"), **(keep or {})}, worker, "lang_pred string, score double", "languages")

@@ -144,4 +144,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made.append(pa.array([[{"label": a, "word": b, "share": c} for a, b, c in r[7]] for r in rows], notice))
         return list(zip(names, made, strict=True))
 
-    return map_texts(docs, text_or_empty(text_col).cast("binary"), {id_col: F.col(f"`{id_col}`")}, worker, _SCHEMA)
+    return map_texts(docs, text_or_empty(text_col).cast("binary"), {id_col: F.col(f"`{id_col}`")}, worker, _SCHEMA, "licenses")

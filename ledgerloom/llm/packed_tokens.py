@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import materialise, ready, text_or_empty
+from ledgerloom.llm.runtime import caches, enter, materialise, ready, text_or_empty
 
 MAGIC = b"LLTOK001"
 _HEAD = struct.Struct("<8s5IQ")
@@ -169,6 +169,9 @@ def _encoder(tokenizer_file: str, end_id: int, table_size: int) -> WordEncoder:
     return WordEncoder(tokenizer_file, end_id, table_size)
 
 
+caches("tokens", _encoder.cache_clear)
+
+
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, shard_ids: int = 1_000_000, table_size: int = 1_500_000) -> DataFrame:
     """Encode and write; returns the data set read back: (part, shard, n_ids, doc_ids, image), an image of about ``shard_ids`` ids a row."""
     spark = ready(docs.sparkSession)
@@ -179,6 +182,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enter("tokens")
         encoder, part, shard = _encoder(tokenizer_file, end_id, table_size), TaskContext.get().partitionId(), 0
         bits, ids, docs_, held = bits_for(encoder.size), [], [], 0
 

@@ -21,11 +21,17 @@ WORD = rf"[^{SPACE}]+"
 SLICE = 512
 
 
+#: Arrow batches of the session: long texts and packed sets make rows of many kilobytes.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608b", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and keep their batches small.
 
     Clusters without a shared code folder install the package or pass it by ``--py-files``.
     """
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
@@ -36,11 +42,27 @@ def ready(spark: SparkSession) -> SparkSession:
 materialise = written
 
 
+_caches: dict[str, list[Callable[[], None]]] = {}
+
+
+def caches(group: str, *clear: Callable[[], None]) -> None:
+    """Name what empties a group's caches of this worker process."""
+    _caches[group] = list(clear)
+
+
+def enter(group: str) -> None:
+    """Empty the caches that other groups of operators left in this worker process, which serves one task after another."""
+    for name, clear in _caches.items():
+        if name != group:
+            for c in clear:
+                c()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
-def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], worker: Callable, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], worker: Callable, schema: str, group: str = "") -> DataFrame:
     """Run ``worker`` over Arrow batches of at most ``SLICE`` rows, without a shuffle.
 
     ``worker`` gets the texts as Python values; it returns the columns to add as pairs of name and array, in the order of
@@ -52,6 +74,7 @@ def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], worker: Call
     heads = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(names, thin.schema.fields[:-1], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(group)
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             made = worker(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(a for _, a in made)], names=[*names, *(n for n, _ in made)])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import map_texts, text_or_empty
+from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
 
 MARK = "▁"
 _RUN = re.compile(r" +[^ ]*")
@@ -68,6 +68,9 @@ def piece_table(model_file: str, table_size: int) -> PieceTable:
     return PieceTable(model_file, table_size)
 
 
+caches("pieces", piece_table.cache_clear)
+
+
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 600_000) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit); see the module for the cases."""
 
@@ -78,5 +81,5 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         return [("n_tokens", pa.array(totals, pa.int64()))]
 
     text = text_or_empty(text_col)
-    made = map_texts(docs, text, {id_col: F.col(f"`{id_col}`"), "n_bytes": F.octet_length(text).cast("long")}, worker, "n_tokens long")
+    made = map_texts(docs, text, {id_col: F.col(f"`{id_col}`"), "n_bytes": F.octet_length(text).cast("long")}, worker, "n_tokens long", "pieces")
     return made.withColumn("over_limit", F.col("n_tokens") > limit)
