@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import DAY_US, Detector
 from ledgerloom.functions.scalars import from_micros
 from ledgerloom.operators.components import window_components
+from ledgerloom.storage import written
 
 KEY = ["w", "first_txn"]
 
@@ -89,7 +90,8 @@ def groups(ledger: DataFrame, cfg: Detector) -> DataFrame:
 
 def candidates(ledger: DataFrame, cfg: Detector) -> tuple[DataFrame, DataFrame]:
     """(candidates, members). A candidate is a group within the size limits, once for all windows that hold the same
-    transfers, in the earliest; its key is (w, first_txn). Members are its transfers."""
+    transfers, in the earliest; its key is (w, first_txn). Members are its transfers. Candidates are written once, so that
+    nothing after them finds components again."""
     rows = groups(ledger, cfg)
     each = rows.groupBy("w", "component").agg(F.count("*").alias("txns"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("accounts"))
     n = F.size("accounts")
@@ -100,7 +102,7 @@ def candidates(ledger: DataFrame, cfg: Detector) -> tuple[DataFrame, DataFrame]:
         fits &= n <= cfg.max_accounts
     once = each.where(fits).groupBy("txn_ids").agg(F.min("w").alias("w"), F.first("accounts").alias("accounts"), F.first("txns").alias("txns"))
     found = once.withColumn("first_txn", F.element_at("txn_ids", 1)).join(F.broadcast(origin_of(ledger).select("origin"))).withColumn("window_start", F.col("origin") + F.col("w") * cfg.stride).drop("origin")
-    found = found.select("w", "first_txn", "window_start", "txn_ids", "accounts", "txns")
+    found = written(found.select("w", "first_txn", "window_start", "txn_ids", "accounts", "txns"), "candidates")
     bridge = found.select("w", "first_txn", "window_start", F.explode("txn_ids").alias("txn_id"))
     members = bridge.join(ledger.select("txn_id", "ts_us", "src", "dst", F.col("amount").cast("double").alias("amount"), "is_laundering", "pattern_id"), "txn_id")
     return found, members

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import HOUR_US
 from ledgerloom.functions.scalars import clamp01
+from ledgerloom.storage import written
 
 KEY = ["w", "first_txn"]
 
@@ -70,7 +71,8 @@ def fast_forward(members: DataFrame) -> DataFrame:
 
 
 def features(members: DataFrame) -> DataFrame:
-    """All features of every candidate."""
+    """All features of every candidate. Members are written first: six aggregates read them."""
+    members = written(members, "members")
     out = amounts(members)
     for part in (flows(members), burstiness(members), max_hour_share(members), fast_forward(members)):
         out = out.join(part, KEY)

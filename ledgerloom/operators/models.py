@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import Forest, Training
 from ledgerloom.functions.scalars import dot, sigmoid
+from ledgerloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,8 @@ def descend(x: np.ndarray, y: np.ndarray, cfg: Training = Training()) -> tuple[n
 def train(rows: DataFrame, columns: list[Column], names: list[str], label: str, cfg: Training = Training(), most_rows: int = 2_000_000) -> Ranker:
     """Fit on labelled rows. Up to ``most_rows`` (checked) the scaled matrix is fitted on the driver; beyond, every step sums
     gradients over the cluster."""
+    rows = written(rows.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)], F.col(label).cast("double").alias("__y")), "train")
+    columns, label = [F.col(n) for n in names], "__y"
     means, sds = standardize(rows, dict(zip(names, columns, strict=True)))
     n = rows.count()
     if n > most_rows:
@@ -69,8 +72,6 @@ def train(rows: DataFrame, columns: list[Column], names: list[str], label: str,
 
 
 def _train_distributed(rows, columns, names, label, means, sds, n, cfg) -> Ranker:
-    from ledgerloom.storage import written
-
     scaled = written(rows.select(*[((c - m) / s).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(columns, means, sds, strict=True))], F.col(label).cast("double").alias("y")), "train")
     pos = scaled.agg(F.sum("y")).first()[0] or 0.0
     heavy = cfg.positive_weight if cfg.positive_weight is not None else (n - pos) / pos if pos else 1.0
