@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import SHAPES, micros, normalize_bank, null_text
@@ -26,10 +26,12 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("line", (F.col("before") + F.col("at") + 1).alias("no"))
 
 
-def _transfer(line: str = "line") -> DataFrame:
-    """A struct of the columns of a transfer's line; a wrong number of columns is an error."""
-    parts = F.split(F.col(line), ",", -1)
-    right = F.when(F.size(parts) == len(COLUMNS), parts).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), F.col(line))).cast("array<string>"))
+def _transfer(is_transfer: Column) -> Column:
+    """A struct of the columns of a transfer's line; a wrong number of columns is an error. Other lines give nulls, as filters
+    may be moved past this."""
+    line = F.when(is_transfer, F.col("line"))
+    parts = F.split(line, ",", -1)
+    right = F.when(F.size(parts) == len(COLUMNS), parts).when(line.isNotNull(), F.raise_error(F.concat(F.lit("wrong number of columns: "), line)).cast("array<string>"))
     c = {n: F.trim(F.element_at(right, i + 1)) for i, n in enumerate(COLUMNS)}
     typed = {
         "ts": F.to_timestamp_ntz(c["ts"], F.lit(FORMAT)), "from_bank": normalize_bank(c["from_bank"]), "from_account": c["from_account"],
@@ -42,7 +44,7 @@ def _transfer(line: str = "line") -> DataFrame:
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """The ledger file with ``txn_id`` by file order from 1."""
-    rows = _numbered(spark, path).where("no > 1 AND trim(line) <> ''").select((F.col("no") - 1).alias("txn_id"), _transfer().alias("t"))
+    rows = _numbered(spark, path).where("no > 1 AND trim(line) <> ''").select((F.col("no") - 1).alias("txn_id"), _transfer(F.expr("no > 1 AND trim(line) <> ''")).alias("t"))
     return rows.select("txn_id", "t.*")
 
 
@@ -66,7 +68,7 @@ def read_patterns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     rows = _numbered(spark, path).where("trim(line) <> ''").withColumns({"opens": F.col("line").rlike(begin).cast("int"), "closes": F.col("line").rlike(end).cast("int")})
     rows = rows.withColumns({"block": F.sum("opens").over(order), "open": F.sum(F.col("opens") - F.col("closes")).over(order)})
     heads = rows.where("opens = 1").select(F.col("block").cast("int").alias("pattern_id"), F.upper(F.trim(F.regexp_extract("line", begin, 1))).alias("typology"), F.regexp_extract("line", begin, 2).alias("description"))
-    lines = rows.where("opens = 0 AND closes = 0 AND open > 0").select(F.col("block").cast("int").alias("pattern_id"), "no", _transfer().alias("t")).select("pattern_id", "no", "t.*")
+    lines = rows.where("opens = 0 AND closes = 0 AND open > 0").select(F.col("block").cast("int").alias("pattern_id"), "no", _transfer(F.expr("opens = 0 AND closes = 0 AND open > 0")).alias("t")).select("pattern_id", "no", "t.*")
     n = lines.groupBy("pattern_id").agg(F.count("*").alias("txn_count"))
     return heads.join(n, "pattern_id", "left").withColumn("txn_count", F.coalesce("txn_count", F.lit(0))), lines
 

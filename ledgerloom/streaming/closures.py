@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ledgerloom.config import Detector
 from ledgerloom.functions.scalars import micros
+from ledgerloom.storage import written
 
 
 def closed_windows(stream: DataFrame, cfg: Detector, late: str = "1 hour") -> DataFrame:
@@ -25,10 +26,11 @@ def detect_stream(stream: DataFrame, cfg: Detector, sink: Callable[[DataFrame, D
     from ledgerloom.operators import detect
 
     def batch(df: DataFrame, no: int) -> None:
-        rows = df.select(F.explode("txns").alias("t")).select("t.*").dropDuplicates(["txn_id"])
-        rows = rows.withColumn("ts_us", micros(F.col("ts").cast("timestamp_ntz")))
+        start = F.unix_micros("window.start")
+        rows = df.select(start.alias("window_start"), F.floor(start / F.lit(cfg.stride)).alias("w"), F.explode("txns").alias("t")).select("w", "window_start", "t.*")
+        rows = written(rows.withColumn("ts_us", micros(F.col("ts").cast("timestamp_ntz"))), "closed")
         if rows.limit(1).count():
-            sink(*detect.candidates(rows, cfg), no)
+            sink(*detect.candidates(rows.drop("w", "window_start").dropDuplicates(["txn_id"]), cfg, rows), no)
 
     out = closed_windows(stream, cfg, late).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return out.trigger(**(trigger or {"availableNow": True})).start()
