@@ -48,7 +48,9 @@ class PieceTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         if any(re.search(f"[^{MARK}]{MARK}", self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())):
             raise ValueError(f"{model_file} has pieces that cross a word boundary; pre-tokens can't be counted alone")
-        self.counts: dict[str, int] = {}
+        #: A lone mark at the end of a text is a pre-token too; the library gives nothing for empty text.
+        self.lone = {"": len(self.model.encode("x ")) - len(self.model.encode("x"))}
+        self.counts: dict[str, int] = dict(self.lone)
         self.table_size = table_size
 
     def totals(self, texts: list[str]) -> list[int]:
@@ -56,6 +58,7 @@ class PieceTable:
         counts = self.counts
         if len(counts) > self.table_size:
             counts.clear()
+            counts.update(self.lone)
         new = list({w for f in frequencies for w in f if w not in counts})
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
