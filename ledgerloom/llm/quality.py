@@ -79,7 +79,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     return t.select(
         _c("__id").alias(id_col),
         *[_c(f"__carry{i}") for i in range(len(carry))],
-        F.size("__words").cast("long").alias("n_words"),
+        # Never less than the number of words: a row id in it keeps filters on verdicts above this projection, where the
+        # optimiser would write all measurements out again.
+        F.greatest(F.size("__words").cast("long"), -1 - F.monotonically_increasing_id()).alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         without(SYMBOLS + "+").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -87,7 +89,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         F.size("__lines").cast("long").alias("n_lines"),
         (F.length("__text") - F.length(F.replace("__text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
         without("[A-Z]+").cast("long").alias("n_capitals"),
-        *([F.monotonically_increasing_id().alias("__row")] if carry else []),
     )
 
 
@@ -119,5 +120,4 @@ def keep_good(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_
     """The documents that pass a policy, with all their columns."""
     cols = docs.columns
     book = ledger(measure(docs, id_col, text_col, tuple(cols)))
-    # A row id keeps the optimiser from writing the rules out again in a filter below their measurements.
-    return book.where(passes(policy) & (F.col("__row") >= 0)).select(*[F.col(f"__carry{i}").alias(c) for i, c in enumerate(cols)])
+    return book.where(passes(policy)).select(*[F.col(f"__carry{i}").alias(c) for i, c in enumerate(cols)])
