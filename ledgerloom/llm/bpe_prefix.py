@@ -165,11 +165,19 @@ def _bytes_of(ranks_file: str) -> dict[int, bytes]:
         return {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _decoded(ids: list[bytes | None], ranks_file: str) -> pa.Array:
+    of = _bytes_of(ranks_file)
+    return pa.array([None if x is None else b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.binary())
+
+
 caches("bpe", _codec.cache_clear, _bytes_of.cache_clear)
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo_size: int = 300_000) -> DataFrame:
-    """Rows (id, n_tokens, ids) with the ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo_size: int = 300_000, decoded: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids) with the ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` there is also what the ids decode to, made in the same pass by the same worker.
+    """
 
     def worker(texts: list[str]):
         pieces, cut = _codec(ranks_file, pattern)
@@ -178,18 +186,17 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         cuts = [cut(t) for t in texts]
         pieces.learn(set().union(*cuts) - pieces.keys())
         out = [b"".join(map(pieces.__getitem__, c)) for c in cuts]
-        return [("n_tokens", pa.array([len(x) // 4 for x in out], pa.int64())), ("ids", pa.array(out, pa.binary()))]
+        made = [("n_tokens", pa.array([len(x) // 4 for x in out], pa.int64())), ("ids", pa.array(out, pa.binary()))]
+        return [*made, ("decoded", _decoded(out, ranks_file))] if decoded else made
 
-    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`")}, worker, "n_tokens long, ids binary", "bpe")
+    return map_texts(docs, text_or_empty(text_col), {id_col: F.col(f"`{id_col}`")}, worker, "n_tokens long, ids binary" + ", decoded binary" * decoded, "bpe")
 
 
 def decode(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``: the bytes that the ids stand for; null where the ids are null."""
 
     def worker(ids: list[bytes | None]):
-        of = _bytes_of(ranks_file)
-        out = [None if x is None else b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-        return [("decoded", pa.array(out, pa.binary()))]
+        return [("decoded", _decoded(ids, ranks_file))]
 
     keep = {c: F.col(f"`{c}`") for c in encoded.columns if c != "decoded"}
     return map_texts(encoded, F.col(f"`{ids_col}`"), keep, worker, "decoded binary", "bpe")
