@@ -157,10 +157,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         def frequent(used: int) -> pa.RecordBatch:
             part = stretch[:used]
             part.sort()
-            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if used else np.zeros(1, int)
-            n = np.diff(edges)
-            often = n >= FREQUENT
-            h, n = part[edges[:-1][often]], n[often]
+            h, n = np.unique(part[1:][part[1:] == part[:-1]], return_counts=True)  # every occurrence but a shingle's first
+            often = n + 1 >= FREQUENT
+            h, n = h[often], n[often] + 1
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), _signed(h), pa.array(n)], names=names)
 
         enter("jaccard")
