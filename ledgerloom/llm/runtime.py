@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -42,6 +44,7 @@ def ready(spark: SparkSession) -> SparkSession:
 materialise = written
 
 
+_last: str | None = None
 _caches: dict[str, list[Callable[[], None]]] = {}
 
 
@@ -51,11 +54,22 @@ def caches(group: str, *clear: Callable[[], None]) -> None:
 
 
 def enter(group: str) -> None:
-    """Empty the caches that other groups of operators left in this worker process, which serves one task after another."""
+    """Empty the caches that other groups of operators left in this worker process, which serves one task after another, and
+    give their memory back to the system."""
+    global _last
+    if _last in (None, group):
+        _last = group
+        return
+    _last = group
     for name, clear in _caches.items():
         if name != group:
             for c in clear:
                 c()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_or_empty(column: str) -> Column:
