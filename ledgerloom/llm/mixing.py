@@ -146,8 +146,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = 3) -> DataFrame:
-    """Rows (id, size, source_size, target, copies, taken)."""
-    return plan_mix(docs, id_col, source_col, text_col, most).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """Rows (id, size, source_size, target, taken, copies)."""
+    return plan_mix(docs, id_col, source_col, text_col, most).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = 3) -> DataFrame:
