@@ -56,7 +56,7 @@ def window_components(edges: DataFrame, window: str = "w", left: str = "src", ri
     through the distributed rounds.
     """
     w, a, b = F.col(window), F.col(left), F.col(right)
-    thin = edges.select(w.alias("w"), a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    thin = edges.select(w.alias("w"), a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     largest = thin.groupBy("w").count().agg(F.max("count")).first()[0] or 0
     if largest > local_limit:
         nodes = thin.select("w", F.explode(F.array("a", "b")).alias("node")).distinct()
