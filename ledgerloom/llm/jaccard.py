@@ -277,7 +277,7 @@ def _needed_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame
     """(cid, s) of at least the needed classes: sets as packed 64-bit hashes, from another pass over the texts."""
     spark = docs.sparkSession
     m = needed.count()
-    words = 1 << max(10, min(21, (m // 4).bit_length()))  # of 64 bits: 16 MB at most
+    words = 1 << max(10, min(21, (4 * m).bit_length()))  # of 64 bits, at least 256 bits a class up to 16 MB in all
     bits = needed.groupBy(F.col("cid").bitwiseAND(F.lit(64 * words - 1)).alias("at")).agg(F.count("*")).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(words, np.int64)
     table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
@@ -303,7 +303,8 @@ def _needed_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame
 def overlaps(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) that are linked, with their overlap: blocked product of the incidences."""
     both = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = materialise(_needed_sets(docs, text_col, materialise(both, "needed")), "sets")
+    # Both joins read the one exchange that makes sets distinct: it is already dealt by class.
+    sets = _needed_sets(docs, text_col, materialise(both, "needed"))
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     full = right.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
