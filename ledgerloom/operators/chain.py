@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.storage import written
+
 GENESIS = {"decisions": hashlib.sha256(b"ledgerloom decisions").hexdigest(), "restrictions": hashlib.sha256(b"ledgerloom restrictions").hexdigest()}
 DECISION = ["seq", "decided_at", "ring_id", "action", "proposed", "confidence", "source", "rationale", "adjustments", "evidence"]
 RESTRICTION = ["seq", "event", "recorded_at", "account", "tier", "ring_id", "decision_seq", "pass", "reason", "imposed_at", "expires_at"]
@@ -57,6 +60,27 @@ class ChainLog:
         return len(self.rows), broken
 
 
+def chained(rows: DataFrame, order: str, body: Column, genesis: str) -> DataFrame:
+    """(seq, prev_hash, hash, body) of a log over all rows by ``order``, as its single writer appends them.
+
+    A hash needs the one before it, so one task sorts the rows (spilling) and makes them batch by batch.
+    """
+
+    def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev, seq = genesis, 0
+        for b in batches:
+            before, made = [], []
+            for text in b.column(0).to_pylist():
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}\n{text}".encode()).hexdigest()
+                made.append(prev)
+            yield pa.RecordBatch.from_arrays([pa.array(range(seq + 1, seq + 1 + len(made)), pa.int64()), pa.array(before, pa.string()), pa.array(made, pa.string()), b.column(0)], names=["seq", "prev_hash", "hash", "body"])
+            seq += len(made)
+
+    texts = rows.select(F.col(order).alias("__order"), F.coalesce(body, F.lit("")).alias("body")).repartition(1).sortWithinPartitions("__order")
+    return written(texts.select("body").mapInArrow(append, "seq long, prev_hash string, hash string, body string"), "log")
+
+
 def verify_chain(log: DataFrame, content: Callable[[], Column] | Column, genesis: str, partition: str | None = None) -> DataFrame:
     """One row (entries, first_broken): links and contents of a log (seq, prev_hash, hash). ``content`` is the text hashed after prev_hash.
 

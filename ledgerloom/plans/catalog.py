@@ -574,15 +574,17 @@ def chain_verify(spark, d):
     return log.join(links, "seq", "left").agg(F.count("*").alias("entries"), F.min(F.when(bad, F.col("seq"))).alias("first_broken"))
 
 
+def _event_log(spark, d) -> DataFrame:
+    """A well-made chain of one decision an event, over all events."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_id", "ts", "user_id", "event_type", "value", "props")]
+    return chain.chained(e, "event_id", F.concat_ws("\n", *fields), chain.GENESIS["decisions"])
+
+
 @query
 def decision_chain(spark, d):
-    """A well-made chain of decisions, verified whole."""
-    log = chain.ChainLog("decisions")
-    for i in range(50):
-        log.append(decided_at=f"2024-01-01T00:00:{i:02d}.000000Z", ring_id=i, action="hold_for_review", proposed="block", confidence=0.5, source="rule", rationale="", adjustments=["score"], evidence={"txns": i})
-    rows = [(r["seq"], r["prev_hash"], r["hash"], "\n".join(chain._text(r[f]) for f in chain.DECISION)) for r in log.rows]
-    df = spark.createDataFrame(rows, "seq long, prev_hash string, hash string, body string")
-    return chain.verify_chain(df, F.col("body"), chain.GENESIS["decisions"])
+    """The chain over all events, verified whole."""
+    return chain.verify_chain(_event_log(spark, d), F.col("body"), chain.GENESIS["decisions"])
 
 
 @query

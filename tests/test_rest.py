@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import HOUR_US, Detector, Forest, RegistrySpec, Training
 from ledgerloom.functions import formats, scalars
 from ledgerloom.operators import chain, entity, latency, models, registry, rowscorer
+from ledgerloom.plans import catalog
 from ledgerloom.sources import aml, cardfiles, env
 from ledgerloom.streaming import closures
 
@@ -128,6 +129,21 @@ def test_chain(spark):
     assert tuple(frame(rows)) == (5, None) and tuple(frame(rows[:1] + rows[2:])) == (4, 3) and tuple(frame([*rows[:3], (4, *rows[3][1:3], "x"), rows[4]])) == (5, 4)
 
 
+def test_decision_chain_is_whole(spark):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    assert tuple(catalog.decision_chain(spark, d).first()) == (n, None)
+    log = catalog._event_log(spark, d)
+    rows = log.orderBy("seq").collect()
+    again = chain.ChainLog("decisions")
+    assert rows[0]["prev_hash"] == again.genesis and all(b["prev_hash"] == a["hash"] for a, b in zip(rows, rows[1:], strict=False)) and [r["seq"] for r in rows] == list(range(1, n + 1))
+    verify = lambda df: tuple(chain.verify_chain(df, F.col("body"), again.genesis).first())
+    at = lambda k: F.col("seq") == k
+    assert verify(log.withColumn("body", F.when(at(n), "x").otherwise(F.col("body")))) == (n, n)
+    assert verify(log.withColumn("prev_hash", F.when(at(n - 300), "x").otherwise(F.col("prev_hash"))).withColumn("body", F.when(at(n - 100), "x").otherwise(F.col("body")))) == (n, n - 300)
+    assert verify(log.where(~at(n - 200))) == (n - 1, n - 199)
+
+
 def test_aml_files(spark, tmp_path):
     head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
     a, b = "2022/09/01 00:08,011,8000,001,9000,3.10,Euro,3.10,Euro,ACH,1\n", "2022/09/01 00:09,000,8001,2,9001,4.00,Euro,4.00,Euro,Wire,0\n"
