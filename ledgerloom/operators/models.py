@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Forest, Training
@@ -88,18 +88,27 @@ def average_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def draws(n: int, cfg: Forest = Forest()) -> np.ndarray:
+    """Row numbers from 0 to n - 1, drawn with replacement: a row a tree."""
+    return np.random.default_rng(cfg.seed).integers(0, n, (cfg.trees, min(cfg.sample, n)))
+
+
 class IsolationForest:
-    """Trees over bootstrap samples; a row's score is 2 to minus its mean depth over the sample's average path."""
+    """Trees over bootstrap samples; a row's score is 2 to minus its mean depth over the sample's average path.
+
+    ``drawn`` are the places in ``x`` of every tree's sample, one row a tree, by default drawn from all of ``x``.
+    """
 
-    def __init__(self, x: np.ndarray, cfg: Forest = Forest()):
+    def __init__(self, x: np.ndarray, cfg: Forest = Forest(), drawn: np.ndarray | None = None):
         self.cfg, self.trees = cfg, []
         if not len(x):
             return
-        rng = np.random.default_rng(cfg.seed)
-        self.size = min(cfg.sample, len(x))
+        drawn = draws(len(x), cfg) if drawn is None else drawn
+        rng = np.random.default_rng((cfg.seed, 1))
+        self.size = drawn.shape[1]
         self.depth = math.ceil(math.log2(self.size)) if self.size > 1 else 0
-        for _ in range(cfg.trees):
-            self.trees.append(self._grow(x[rng.integers(0, len(x), self.size)], 0, rng))
+        for places in drawn:
+            self.trees.append(self._grow(x[places], 0, rng))
 
     def _grow(self, rows: np.ndarray, depth: int, rng) -> tuple:
         low, high = (rows.min(0), rows.max(0)) if len(rows) else (None, None)
@@ -127,11 +136,42 @@ class IsolationForest:
         return 2.0 ** (-(total / len(self.trees)) / max(average_path(self.size), 1e-12))
 
 
-def anomaly(rows: DataFrame, train_rows: DataFrame, columns: list[Column], cfg: Forest = Forest(), most: int = 50_000) -> DataFrame:
-    """The rows with ``anomaly``, fitted on at most ``most`` of the training rows (trees see ``sample`` each), scored over Arrow batches."""
-    pick = train_rows.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).orderBy(F.xxhash64(*[c.cast("double") for c in columns])).limit(most).toArrow()
-    x = np.stack([pick.column(i).to_numpy() for i in range(len(columns))], axis=1) if pick.num_rows else np.zeros((0, len(columns)))
-    forest = IsolationForest(x, cfg)
+def bootstrap(rows: DataFrame, columns: list[Column], cfg: Forest = Forest()) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature vectors, and the places in them of every tree's sample, drawn from all rows.
+
+    Rows are numbered in the order of their vectors: each distinct vector has a run of numbers as long as its count. Numbers
+    come from a range-partitioned sort shifted by partition counts; only vectors that own a drawn number reach the driver.
+    """
+    names = [f"x{i}" for i in range(len(columns))]
+    counted = rows.select(*[c.cast("double").alias(x) for c, x in zip(columns, names, strict=True)]).groupBy(*names).agg(F.count("*").alias("m"))
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(counted.repartitionByRange(n_parts, *names).withColumn("p", F.spark_partition_id()), "vectors")
+    sizes = placed.groupBy("p").agg(F.sum("m").alias("m")).orderBy("p").collect()
+    n = sum(r["m"] for r in sizes)
+    if not n:
+        return np.zeros((0, len(names))), np.zeros((0, 0), int)
+    numbers = draws(n, cfg)
+    wanted = np.unique(numbers)
+    ahead = placed.sparkSession.createDataFrame([(r["p"], sum(x["m"] for x in sizes[:i])) for i, r in enumerate(sizes)], "p int, off long")
+    upto = Window.partitionBy("p").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.withColumn("upto", F.sum("m").over(upto)).join(F.broadcast(ahead), "p").withColumn("end", F.col("upto") + F.col("off"))
+
+    @F.pandas_udf("boolean")
+    def drawn(end, m):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(wanted, end.to_numpy()) > np.searchsorted(wanted, (end - m).to_numpy()))
+
+    pick = ends.where(drawn("end", "m")).select("end", *names).toArrow()
+    order = np.argsort(pick.column("end").to_numpy())
+    x = np.stack([pick.column(c).to_numpy()[order].astype(float) for c in names], axis=1)
+    return x, np.searchsorted(pick.column("end").to_numpy()[order], numbers, side="right")
+
+
+def anomaly(rows: DataFrame, train_rows: DataFrame, columns: list[Column], cfg: Forest = Forest()) -> DataFrame:
+    """The rows with ``anomaly``, fitted on samples of all training rows (trees see ``sample`` each), scored over Arrow batches."""
+    x, drawn = bootstrap(train_rows, columns, cfg)
+    forest = IsolationForest(x, cfg, drawn)
 
     @F.pandas_udf("double")
     def scored(features):

@@ -61,6 +61,23 @@ def test_forest(spark):
     assert models.anomaly(df, df, [F.col("a"), F.col("b")]).orderBy(F.col("anomaly").desc()).first()["a"] == 9
 
 
+def test_forest_draws_from_all_rows(spark):
+    # More rows than any driver-side bound, most of them one vector, that with the least hash.
+    vectors = spark.range(100).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    often = vectors.orderBy(F.xxhash64("a", "b")).first()["a"]
+    rows = spark.range(100_000).select(F.when(F.col("id") < 60_000, F.lit(often)).otherwise((F.col("id") % 100).cast("double")).alias("a"), F.lit(1.0).alias("b"))
+    x, drawn = models.bootstrap(rows, [F.col("a"), F.col("b")])
+    assert drawn.shape == (100, 256) and set(x[:, 0]) == set(range(100)) and (x[:, 1] == 1).all()
+    assert (x[drawn][:, :, 0] == often).mean() == pytest.approx(0.604, abs=0.02)
+    again, places = models.bootstrap(rows.repartition(3), [F.col("a"), F.col("b")])
+    assert (again == x).all() and (places == drawn).all()
+    s = models.anomaly(vectors, rows, [F.col("a"), F.col("b")]).orderBy("anomaly").collect()
+    assert s[0]["a"] == often and s[0]["anomaly"] < s[-1]["anomaly"]
+    few, places = models.bootstrap(vectors.where("a < 3"), [F.col("a")])
+    assert places.shape == (100, 3) and set(few[:, 0]) == {0, 1, 2}
+    assert models.anomaly(vectors, vectors.where("a < 0"), [F.col("a")]).agg(F.max("anomaly")).first()[0] == 0
+
+
 def test_registry(spark):
     rows = [(i, i, i, i + 1, 9) for i in range(1, 400)]
     led = ledger(spark, rows, range(1, 200))
