@@ -373,9 +373,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, of each component only the one whose id is the component's (one row, should the
-    id repeat); documents without shingles, and those whose component has no id, stay."""
+    """The documents with all their columns, of each component only the row of the least id (nulls last; of rows that share
+    it, one by a hash of the text, then by place); documents without shingles, and those whose component has no id, stay.
+
+    Rows are written once with a row id, so that repeated and null ids are told apart."""
     cols = docs.columns
-    found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(f"n_shingles > 0 AND `{id_col}` <> component_id").select(F.col(f"`{id_col}`").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti").select(*cols)
+    carried = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(cols)])
+    rows = materialise(carried, "rows", **{"parquet.block.size": 16 << 20})  # small row groups: texts wait in memory
+    key, text = f"carry{cols.index(id_col)}", f"carry{cols.index(text_col)}"
+    members, links = linked_pairs(rows, text, "rid")
+    labels = components(links).select(F.col("node").alias("cid"), "component")
+    place = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("tie"), "rid")
+    own = members.where("cid IS NOT NULL").select(F.col("doc_id").alias("rid"), "cid").join(rows.select("rid", place.alias("place")), "rid")
+    own = materialise(own, "places")
+    named = own.groupBy("cid").agg(F.min("place").alias("least")).join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    of = materialise(named.join(first, "component").select("cid", F.col("first.nameless").alias("nameless"), F.col("first.rid").alias("stays")), "components")
+    gone = own.join(of, "cid").where("NOT nameless AND rid <> stays").select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*[F.col(f"carry{i}").alias(c) for i, c in enumerate(cols)])

@@ -137,6 +137,20 @@ def test_near_copies_go(spark):
     assert jaccard.drop_near_copies(frame(spark, [(None, "a b"), (None, "a b"), (1, None), (2, None)])).count() == 4
 
 
+def test_near_copies_go_by_row(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    near_a = a + " more"
+
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in jaccard.drop_near_copies(clashing(frame(spark, rows))).collect()), key=repr)
+
+    assert kept([(5, a), (5, a), (5, a), (6, b)]) == [(5, a), (6, b)]
+    assert kept([(3, a), (7, near_a), (7, b)]) == [(3, a), (7, b)]
+    assert kept([(7, a), (7, b)]) == sorted([(7, a), (7, b)])
+    assert kept([(None, a), (4, near_a), (None, b)]) == [(4, near_a), (None, b)]
+    assert len(kept([(5, a), (5, near_a)])) == 1 and kept([(5, a), (5, near_a)]) == kept([(5, near_a), (5, a)])
+
+
 def test_postings_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
