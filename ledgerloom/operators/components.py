@@ -29,7 +29,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", keys: tuple[
     """Rows (*keys, node, component) of every node that has an edge to another; component is its least node.
 
     With ``keys`` every combination of their values is a graph of its own. Edges with a null end are ignored; self-loops
-    and repeated edges change nothing; an empty edge list gives an empty result.
+    and repeated edges change nothing; an empty edge list gives an empty result. It raises if the last of ``rounds`` rounds
+    still changed an edge.
     """
     k = [F.col(f"`{c}`") for c in keys]
     ends = [F.col(f"`{left}`"), F.col(f"`{right}`")]
@@ -43,6 +44,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", keys: tuple[
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     pairs = now.union(now.select(F.col("b").alias("a"), "b")).distinct()
     if keys:
         return pairs.select(*[F.col("a")[c].alias(c) for c in keys], F.col("a.node").alias("node"), F.col("b.node").alias("component"))

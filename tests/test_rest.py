@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import HOUR_US, Detector, Forest, RegistrySpec, Training
 from ledgerloom.functions import formats, scalars
-from ledgerloom.operators import chain, entity, latency, models, registry, rowscorer
+from ledgerloom.operators import chain, components, entity, latency, models, registry, rowscorer
 from ledgerloom.plans import catalog
 from ledgerloom.sources import aml, cardfiles, env
 from ledgerloom.streaming import closures
@@ -51,6 +51,13 @@ def test_logistic(spark):
     assert models.descend(np.zeros((0, 2)), np.zeros(0))[0].tolist() == [0, 0]
 
 
+def test_components_settle_or_raise(spark):
+    line = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components.components(line).agg(F.count("*"), F.max("component")).first() == (41, 0)
+    with pytest.raises(RuntimeError, match="settled"):
+        components.components(line, rounds=1)
+
+
 def test_forest(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(500, 2)), [[9.0, 9.0]]])
