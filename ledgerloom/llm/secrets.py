@@ -1,10 +1,10 @@
 r"""Secret scan with multipart credential linking.
 
 Strong parts are reported wherever they stand: assignments of secrets, access ids and long hex strings (the base). Weak
-parts are reported only where a complementary part stands in the same scope, that is, starts at most ``SCOPE`` code points
-away: a mixed string that might be a secret needs an identifier or an endpoint, an identifier (user, client id, ...)
+parts are reported only where a complementary part stands in the same scope, that is, at most ``SCOPE`` code points lie
+between the end of one and the start of the other, however long they are: a mixed string that might be a secret needs an identifier or an endpoint, an identifier (user, client id, ...)
 needs a secret, an endpoint needs both. The link is an interval join of the parts of a document with themselves, run as
-range-framed windows over parts sorted by position: no pair of parts is ever made.
+running windows over parts sorted by position, forwards and backwards: no pair of parts is ever made.
 
 Offsets come from the split of a text at a pattern: the lengths of what lies between matches and of the matches add up
 to code point positions. Only parts leave the scan of the texts; a text without parts sends one thin row.
@@ -76,11 +76,9 @@ def parts_of(rows: DataFrame) -> DataFrame:
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The parts with ``reported`` and, for each, the nearest identifier, secret and endpoint of its scope before and after."""
-    by_start = Window.partitionBy("rid").orderBy("start")
     before_all = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
     after_all = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(1, Window.unboundedFollowing)
     base = F.col("order") < 3
-    span = F.struct("start", "end")
     reach = F.max(F.when(base, F.col("end"))).over(before_all)
     ahead = F.min(F.when(base, F.col("start"))).over(after_all)
     inside = ~base & ((F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end")))
@@ -88,10 +86,16 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     left = parts.withColumn("again", inside).where(F.col("start").isNull() | ~F.coalesce(F.col("again"), F.lit(False)))
     role = F.when(F.col("kind").isin("access", "identifier"), "identifier").when(F.col("kind") == "endpoint", "endpoint").when(F.col("kind").isNotNull(), "secret")
     out = left.withColumn("role", role)
-    back, on = by_start.rangeBetween(-scope, 0), by_start.rangeBetween(0, scope)
-    for r in ("identifier", "secret", "endpoint"):
-        mine = F.when(F.col("role") == r, span)
-        out = out.withColumn(f"{r}_before", F.last(mine, True).over(back)).withColumn(f"{r}_after", F.first(mine, True).over(on))
+    # Of the parts up to this one, the end that reaches farthest; of those from this one on, the first start.
+    back = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("order").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    roles = ("identifier", "secret", "endpoint")
+    out = out.select("*", *[F.max(F.when(F.col("role") == r, F.struct("end", "start"))).over(back).alias(f"{r}_before") for r in roles])
+    out = out.select("*", *[F.min(F.when(F.col("role") == r, F.struct("start", "end"))).over(on).alias(f"{r}_after") for r in roles])
+    for r in roles:
+        before, after = F.col(f"{r}_before"), F.col(f"{r}_after")
+        out = out.withColumn(f"{r}_before", F.when(F.col("start") - before["end"] <= scope, F.struct(before["start"].alias("start"), before["end"].alias("end"))))
+        out = out.withColumn(f"{r}_after", F.when(after["start"] - F.col("end") <= scope, after))
     has = lambda r: F.col(f"{r}_before").isNotNull() | F.col(f"{r}_after").isNotNull()
     weak = F.when(F.col("kind") == "secret", has("identifier") | has("endpoint")).when(F.col("kind") == "identifier", has("secret")).when(F.col("kind") == "endpoint", has("identifier") & has("secret"))
     return out.withColumn("reported", F.coalesce(base | weak, F.lit(False)))

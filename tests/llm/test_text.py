@@ -186,6 +186,16 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_links_span_long_parts(spark):
+    secret, far, url, token = "Zx9kQw3rTy7uIoP1aSdF", "far " * 49, "https://db.example.com/" + "x." * 150, "Zx9kQw3rTy7uIoP1aSdF" * 20
+    rows = [(1, f"{url} {secret}"), (2, f"{token} user=bob"), (3, f"{token} {url} user=bob"), (4, f"user={'u.' * 150} {secret}"), (5, f"{secret} {far}  user=bob"), (6, f"{secret} {far}    user=bob"), (7, f"user=bob {url} {url} {secret}")]
+    got = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got[1] == ["secret"] and got[2] == ["secret", "identifier"] and got[3] == ["secret", "endpoint"] and got[4] == ["identifier", "secret"]
+    assert got[5] == ["secret", "identifier"] and got[6] == [] and got[7] == ["secret"]
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert text[1] == f"{url} [SECRET]" and text[2] == "[SECRET] [SECRET]" and text[6] == rows[5][1]
+
+
 def test_redaction(spark):
     docs = frame(spark, SECRETS)
     out = secrets.redact(clashing(docs))
