@@ -37,27 +37,27 @@ _IDENTIFIER_NAMES = "|".join(map(_either, ("user_?name", "user", "login", "accou
 _RUN = "A-Za-z0-9+/_=-"
 PATTERNS = {
     "assign": f"({_SECRET_NAMES}){_GIVEN}({_VALUE})",
-    "access": "AKIA[A-Z0-9]+",
-    "hex": "[0-9a-f]+",
-    "secret": f"(?<![{_RUN}])(?=[{_RUN}]{{20}})(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[{_RUN}]+",
-    "identifier": f"(?<![A-Za-z0-9])({_IDENTIFIER_NAMES}){_GIVEN}([A-Za-z0-9@._+-]+)",
+    "access": "AKIA[A-Z0-9]{12,}",
+    "hex": "(?<![0-9a-f])[0-9a-f]{32,}",
+    "secret": f"(?<![{_RUN}])(?=[{_RUN}]{{20}})(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])(?=[A-Za-z+/_=-]*[0-9])[{_RUN}]+",
+    "identifier": f"(?<![A-Za-z0-9])({_IDENTIFIER_NAMES}){_GIVEN}([A-Za-z0-9@._+-]{{3,}})",
     "endpoint": rf"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{{1,15}}://[^{SPACE}\"'<>]+",
 }
-#: What a text must match to have any part of the kind; cheaper than, and implied by, the pattern and its least length.
+#: What a text must match to have any part of the kind; cheaper than, and implied by, the pattern.
 TRIGGERS = PATTERNS | {"access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
-_LEAST = {"assign": 8, "access": 16, "hex": 32, "secret": 20, "identifier": 3, "endpoint": 1}
-_GROUP = {"assign": 2, "identifier": 2}
+#: Shortest value of an assignment. A shorter one is no part, but takes its characters from what may follow, so the pattern
+#: finds it all the same; every other pattern finds parts alone, as its least length only leaves out runs that hold no part.
+LEAST_VALUE = 8
 
 
 def _parts(text: str, kind: str) -> Column:
-    """Array of (kind, order, i, gap, size) of a kind's matches: the code points before the match and in it."""
+    """Array of (kind, order, i, gap, size, held) of a kind's matches: the code points before the match, in it and in its value."""
     pattern = F.lit(PATTERNS[kind])
-    found = F.arrays_zip(
-        F.transform(F.split(F.col(text), PATTERNS[kind], -1), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias("size"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(_GROUP.get(kind, 0))), lambda x: F.length(x)).alias("held"),
-    )
-    rows = F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["held"].alias("held")))
+    sizes = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda x: F.length(x))
+    gaps = F.transform(F.split(F.col(text), PATTERNS[kind], -1), lambda x: F.length(x))
+    found = F.arrays_zip(gaps.alias("gap"), sizes(0).alias("size"), sizes(2 if kind == "assign" else 0).alias("held"))
+    matches = F.slice(found, 1, F.size(found) - 1)  # what follows the last match has none
+    rows = F.transform(matches, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["held"].alias("held")))
     return F.when(F.col(text).rlike(TRIGGERS[kind]), rows)
 
 
@@ -66,18 +66,23 @@ def parts_of(rows: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<kind:string,order:int,i:int,gap:int,size:int,held:int>>")
     every = F.concat(*[F.coalesce(_parts("text", k), empty) for k in KINDS])
     flat = rows.select("rid", "id", F.explode_outer(every).alias("p")).select("rid", "id", "p.*").repartition("rid")
-    upto = Window.partitionBy("rid", "order").orderBy("i")
-    placed = flat.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(upto))
-    placed = placed.withColumn("start", F.col("end") - F.col("size"))
-    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in _LEAST.items()])
-    good = F.col("held") >= least  # the piece after the last match has no match of its own
-    return placed.withColumn("good", F.coalesce(good, F.lit(False))).select("rid", "id", *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("kind", "order", "start", "end")])
+    kind = Window.partitionBy("rid", "order").orderBy("i")
+    placed = flat.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(kind)).withColumn("start", F.col("end") - F.col("size"))
+    # Short values have done their part in the sums; of a text that has nothing else, the first stays as its row of nulls.
+    good = (F.col("kind") != "assign") | (F.col("held") >= LEAST_VALUE)
+    first = F.row_number().over(Window.partitionBy("rid").orderBy("order", "i")) == 1
+    placed = placed.withColumns({"good": F.coalesce(good, F.lit(False)), "first": first}).where("good OR first")
+    return placed.select("rid", "id", *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("kind", "order", "start", "end")])
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The parts with ``reported`` and, for each, the nearest identifier, secret and endpoint of its scope before and after."""
-    before_all = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
-    after_all = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(1, Window.unboundedFollowing)
+    """The parts with ``reported`` and, for each, the nearest identifier, secret and endpoint of its scope before and after.
+
+    All frames grow from an end of the document, so every window is one running pass over its parts.
+    """
+    up = Window.partitionBy("rid").orderBy("start", "order")
+    down = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("order").desc())
+    before_all, after_all = up.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("order") < 3
     reach = F.max(F.when(base, F.col("end"))).over(before_all)
     ahead = F.min(F.when(base, F.col("start"))).over(after_all)
@@ -87,8 +92,7 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = F.when(F.col("kind").isin("access", "identifier"), "identifier").when(F.col("kind") == "endpoint", "endpoint").when(F.col("kind").isNotNull(), "secret")
     out = left.withColumn("role", role)
     # Of the parts up to this one, the end that reaches farthest; of those from this one on, the first start.
-    back = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("order").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back, on = up.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, 0)
     roles = ("identifier", "secret", "endpoint")
     out = out.select("*", *[F.max(F.when(F.col("role") == r, F.struct("end", "start"))).over(back).alias(f"{r}_before") for r in roles])
     out = out.select("*", *[F.min(F.when(F.col("role") == r, F.struct("start", "end"))).over(on).alias(f"{r}_after") for r in roles])

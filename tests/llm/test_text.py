@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -186,6 +187,42 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
+def every_span(text, scope=secrets.SCOPE):
+    """Linked spans by comparing every part with every other."""
+    t = text or ""
+    base = [(s, o, k, e) for s, o, k, e in base_spans(t)]
+    runs = [(m.start(), 3, "secret", m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]+", t) if len(m[0]) >= 20 and all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
+    names = "user_?name|user|login|account|client_?id|access_?key_?id"
+    runs += [(m.start(), 4, "identifier", m.end()) for m in re.finditer(rf"""(?<![A-Za-z0-9])(?i:{names})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{{3,}}""", t, re.ASCII)]
+    runs += [(m.start(), 5, "endpoint", m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", t)]
+    weak = [w for w in runs if not any(max(b[0], w[0]) < min(b[3], w[3]) for b in base)]
+    role = {"assign": "s", "hex": "s", "secret": "s", "access": "i", "identifier": "i", "endpoint": "e"}
+    out = list(base)
+    for w in weak:
+        near = {role[p[2]] for p in base + weak if p is not w and max(p[0] - w[3], w[0] - p[3]) <= scope}
+        if {"s": bool(near & {"i", "e"}), "i": "s" in near, "e": {"i", "s"} <= near}[role[w[2]]]:
+            out.append(w)
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_against_every_pair(spark, seed):
+    rng = random.Random(seed)
+    bits = ["user=bob", "login: alice", "https://db.example.com/x?y=1", "Zx9kQw3rTy7uIoP1aSdF", "internationalizationalistic", "token=abc", "secret: abcdefgh12", "AKIAABCDEFGHIJKLMN", "AKIAABC", "0123456789abcdef" * 2, "Room 9", "é😀", "token=secret=abcdefgh9", "user=ab", "ftp://Zx9kQw3rTy7uIoP1aSdF/x", "password:'Zx9kQw3rTy7uIoP1aSdF'"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice([" ", "\n", " and ", " far" * rng.randrange(60)]) for _ in range(rng.randrange(0, 25)))) for i in range(150)]
+    rows += [r for r in SECRETS if r[0] != 9]
+    got = secrets.scan_secrets(frame(spark, rows)).select("doc_id", secrets.written("spans").alias("spans")).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in got), key=repr) == sorted(((i, every_span(t)) for i, t in rows), key=repr)
+
+
+def test_long_words_are_no_secrets(spark):
+    text = "user: bob sees internationalizationalistic stuff. Then Room 9"
+    assert [r["spans"] for r in secrets.scan_secrets(frame(spark, [(1, text)])).collect()] == [[]]
+    long = " ".join(["face", "decade", "add", "x1"] * 10_000) + " " + "0123456789abcdef" * 2 + " user=bob"
+    got = secrets.scan_secrets(frame(spark, [(1, long)])).first()
+    assert [x["kind"] for x in got["spans"]] == ["hex", "identifier"] and got["n_hex"] == 1
+
+
 def test_links_span_long_parts(spark):
     secret, far, url, token = "Zx9kQw3rTy7uIoP1aSdF", "far " * 49, "https://db.example.com/" + "x." * 150, "Zx9kQw3rTy7uIoP1aSdF" * 20
     rows = [(1, f"{url} {secret}"), (2, f"{token} user=bob"), (3, f"{token} {url} user=bob"), (4, f"user={'u.' * 150} {secret}"), (5, f"{secret} {far}  user=bob"), (6, f"{secret} {far}    user=bob"), (7, f"user=bob {url} {url} {secret}")]
