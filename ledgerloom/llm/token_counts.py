@@ -2,29 +2,41 @@
 
 A pre-token is a run of word-boundary marks with what follows it up to the next mark. The vocabulary has no piece that
 continues past such a mark (checked when the model is loaded), so no merge crosses a pre-token and the tokens of a text
-are those of its pre-tokens. Every task keeps a table of distinct pre-tokens with their counts, each counted once by the
-library; a document contributes its pre-token frequencies, which are joined to that table and summed. Ids of documents
-are never made. The table is worker-local on purpose: a corpus-wide join would shuffle about as many bytes as the
-corpus holds, to save counting again what several workers see. Past ``table_size`` entries it starts anew, which costs
-time and changes no count.
+are those of its pre-tokens. Three tables in the shared folder:
+
+1. Frequencies: a row a document, its distinct pre-tokens as numbers and how often each occurs. Numbers are places in the
+   list of distinct pre-tokens of the document's block, a run of documents of one task that ends at ``BLOCK_DOCS``
+   documents or ``BLOCK_WORDS`` distinct pre-tokens; that list is kept once, with the block's first document.
+2. Pieces: every distinct pre-token of the corpus, once, with its number of pieces by the library.
+3. Counts: the pieces table joined to every block's list on the pre-token.
+
+A block's counts then meet its documents' frequencies, and a document's tokens are the sum of products. The join moves a
+block's list, not its documents' words, so that its shuffles hold a vocabulary a block, not a corpus. Ids are never made.
+A frequent pre-token has a row a block in that join, combined before it is shuffled for the distinct table; adaptive
+execution splits it in the join.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and ids give a row each; very long texts are
-counted whole; an empty table gives an empty result; other columns are not read, whatever their names.
+counted whole (one that fills a block alone ends it); an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
+from ledgerloom.llm.runtime import SLICE, caches, enter, materialise, ready, text_or_empty
 
 MARK = "▁"
+BLOCK_DOCS, BLOCK_WORDS = 8192, 60_000
 _RUN = re.compile(r" +[^ ]*")
 
 
@@ -39,50 +51,115 @@ def pre_tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-class PieceTable:
-    """Distinct pre-tokens and how many pieces each has."""
+class Pieces:
+    """How many pieces a pre-token has, by the library."""
 
-    def __init__(self, model_file: str, table_size: int):
+    def __init__(self, model_file: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         if any(re.search(f"[^{MARK}]{MARK}", self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())):
             raise ValueError(f"{model_file} has pieces that cross a word boundary; pre-tokens can't be counted alone")
         #: A lone mark at the end of a text is a pre-token too; the library gives nothing for empty text.
-        self.lone = {"": len(self.model.encode("x ")) - len(self.model.encode("x"))}
-        self.counts: dict[str, int] = dict(self.lone)
-        self.table_size = table_size
+        self.lone = len(self.model.encode("x ")) - len(self.model.encode("x"))
 
-    def totals(self, texts: list[str]) -> list[int]:
-        frequencies = [Counter(pre_tokens(t)) for t in texts]
-        counts = self.counts
-        if len(counts) > self.table_size:
-            counts.clear()
-            counts.update(self.lone)
-        new = list({w for f in frequencies for w in f if w not in counts})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            counts.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
-        return [sum(counts[w] * n for w, n in f.items()) for f in frequencies]
+    def count(self, words: list[str]) -> list[int]:
+        return [len(ids) if w else self.lone for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True)]
 
 
-@lru_cache(maxsize=4)
-def piece_table(model_file: str, table_size: int) -> PieceTable:
-    return PieceTable(model_file, table_size)
+@lru_cache(maxsize=2)
+def pieces(model_file: str) -> Pieces:
+    return Pieces(model_file)
 
 
-caches("pieces", piece_table.cache_clear)
+caches("pieces", pieces.cache_clear)
 
 
-def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 600_000) -> DataFrame:
-    """Rows (id, n_bytes, n_tokens, over_limit); see the module for the cases."""
+class Block:
+    """Documents in the making: their frequencies by place in one list of distinct pre-tokens."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.heads: list[pa.RecordBatch] = []
+        self.words: list[bytes] = []
+        self.times: list[bytes] = []
+        self.distinct: list[int] = []
+
+    def add(self, text: str) -> None:
+        seen, places = Counter(pre_tokens(text)), self.places
+        at = np.fromiter((places.setdefault(w, len(places)) for w in seen), np.uint32, len(seen))
+        n = np.fromiter(seen.values(), np.uint32, len(seen))
+        # Both in as few bytes as all of a document's need; ``distinct`` tells how many that is.
+        self.words.append((at.astype(np.uint16) if len(places) <= 1 << 16 else at).tobytes())
+        self.times.append((n.astype(np.uint8) if not len(n) or n.max() < 256 else n).tobytes())
+        self.distinct.append(len(n))
 
-    def worker(texts: list[str]):
-        table, totals = piece_table(model_file, table_size), []
-        for at in range(0, len(texts), 200):
-            totals += table.totals(texts[at : at + 200])
-        return [("n_tokens", pa.array(totals, pa.int64()))]
+    def full(self, words: int) -> bool:
+        return len(self.words) >= BLOCK_DOCS or len(self.places) >= words
 
+
+def frequencies(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (id, n_bytes, block, list, distinct, words, times): a row a document; ``list`` is null but for the first of a block."""
     text = text_or_empty(text_col)
-    made = map_texts(docs, text, {id_col: F.col(f"`{id_col}`"), "n_bytes": F.octet_length(text).cast("long")}, worker, "n_tokens long", "pieces")
-    return made.withColumn("over_limit", F.col("n_tokens") > limit)
+    thin = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces")
+        part, made = TaskContext.get().partitionId(), 0
+        block = Block()
+
+        def close() -> pa.RecordBatch:
+            heads = pa.Table.from_batches(block.heads)
+            lists = pa.array([list(block.places), *[None] * (len(block.words) - 1)], pa.list_(pa.string()))
+            columns = [*heads.columns, pa.array([part << 32 | made] * len(block.words), pa.int64()), lists, pa.array(block.distinct, pa.int32()), pa.array(block.words, pa.binary()), pa.array(block.times, pa.binary())]
+            return pa.table(columns, names=["id", "n_bytes", "block", "list", "distinct", "words", "times"]).combine_chunks().to_batches()[0]
+
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            heads, first = b.select(["id", "n_bytes"]), 0
+            for k, t in enumerate(b.column(2).to_pylist(), 1):
+                block.add(t)
+                if block.full(block_words):
+                    block.heads.append(heads.slice(first, k - first))
+                    yield close()
+                    block, first, made = Block(), k, made + 1
+            if first < b.num_rows:
+                block.heads.append(heads.slice(first))
+        if block.words:
+            yield close()
+
+    return materialise(thin.mapInArrow(run, f"id {thin.dtypes[0][1]}, n_bytes long, block long, list array<string>, distinct int, words binary, times binary"), "frequencies")
+
+
+def piece_counts(words: DataFrame, model_file: str) -> DataFrame:
+    """Rows (word, n) of distinct pre-tokens (word), each counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces")
+        model = pieces(model_file)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.count(b.column(0).to_pylist()), pa.int32())], names=["word", "n"])
+
+    return materialise(words.mapInArrow(run, "word string, n int"), "pieces")
+
+
+def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (id, n_bytes, n_tokens, over_limit); see the module for the cases."""
+    ready(docs.sparkSession)
+    held = frequencies(docs, id_col, text_col, block_words)
+    listed = held.where("list IS NOT NULL").select("block", F.posexplode("list").alias("at", "word"))
+    counted = piece_counts(listed.select("word").distinct(), model_file)
+    counts = listed.join(counted, "word").select(F.col("block").alias("of"), "at", "n")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = np.zeros(right.num_rows, np.int64)
+        table[right.column("at").to_numpy()] = right.column("n").to_numpy()
+        totals = []
+        for k, w, t in zip(*(left.column(c).to_pylist() for c in ("distinct", "words", "times")), strict=True):
+            at = np.frombuffer(w, np.uint16 if len(w) == 2 * k else np.uint32)
+            n = np.frombuffer(t, np.uint8 if len(t) == k else np.uint32)
+            totals.append(int(table[at] @ n.astype(np.int64)))
+        return pa.table([left.column("id"), left.column("n_bytes"), pa.array(totals, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    met = held.select("id", "n_bytes", "block", "distinct", "words", "times").groupBy("block").cogroup(counts.groupBy("of"))
+    made = met.applyInArrow(run, f"id {held.dtypes[0][1]}, n_bytes long, n_tokens long")
+    return made.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

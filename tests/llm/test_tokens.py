@@ -30,8 +30,12 @@ def test_counts(spark):
     rows = both(spark)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = sorted(((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 100) for i, t in rows), key=repr)
-    got = token_counts.count_tokens(frame(spark, rows).withColumn("n_tokens", F.lit("clash")), PIECES, limit=100, table_size=50)
+    got = token_counts.count_tokens(frame(spark, rows).withColumn("n_tokens", F.lit("clash")), PIECES, limit=100)
     assert keyed(got.collect(), "n_bytes", "n_tokens", "over_limit") == want
+    assert keyed(token_counts.count_tokens(frame(spark, rows), PIECES, limit=100, block_words=50).collect(), "n_bytes", "n_tokens", "over_limit") == want
+    wide = [(i, " ".join(f"w{i}x{k}" for k in range(40_000)) + " the" * 300) for i in range(3)]
+    got = token_counts.count_tokens(frame(spark, wide).coalesce(1), PIECES).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(sp.encode(t)) for i, t in wide}
     assert token_counts.count_tokens(frame(spark, []), PIECES).count() == 0
 
 
