@@ -2,8 +2,9 @@
 
 Every rule is evaluated once a document: its measurement is kept and a failure sets the rule's bit in ``fail_bits``. A
 policy is a version of the rule book: a mask of the bits that count. A verdict is a bitwise test of the ledger, so a
-new policy, or an ablation of an old one, never reads a text again. Ablations count the ledger's distinct bit patterns
-(at most 2 to the number of rules) and derive from them what each rule removes, alone and with others.
+new policy, or an ablation of an old one, never reads a text again: the ledger is a table in the shared folder, with all
+measurements. Ablations count its distinct bit patterns (at most 2 to the number of rules) and derive from them what each
+rule removes, alone and with others.
 
 All of it is DataFrame expressions in one pass over the texts: no shuffle, no Python. Words in repeated windows are
 found by hashing each five-word window to 64 bits; only documents that have a repeated hash sort theirs.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import WORD, text_or_empty
+from ledgerloom.llm.runtime import WORD, materialise, text_or_empty
 
 #: Characters that count as symbols: fixed values.
 SYMBOLS = "[#*$%&|<>]"
@@ -79,9 +80,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     return t.select(
         _c("__id").alias(id_col),
         *[_c(f"__carry{i}") for i in range(len(carry))],
-        # Never less than the number of words: a row id in it keeps filters on verdicts above this projection, where the
-        # optimiser would write all measurements out again.
-        F.greatest(F.size("__words").cast("long"), -1 - F.monotonically_increasing_id()).alias("n_words"),
+        F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         without(SYMBOLS + "+").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -93,11 +92,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
 
 def ledger(measured: DataFrame) -> DataFrame:
-    """The rows with ``fail_bits``: every rule evaluated once."""
+    """The rows with ``fail_bits``, every rule evaluated once, as a stored table: verdicts read it, never the texts."""
     bits = F.lit(0).cast("long")
     for r in rules():
         bits = bits.bitwiseOR(F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return materialise(measured.withColumn("fail_bits", bits), "quality")
 
 
 def passes(policy: str) -> Column:
@@ -117,7 +116,7 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass a policy, with all their columns."""
+    """The documents that pass a policy, with all their columns, which the ledger carries as rows need not have a key."""
     cols = docs.columns
     book = ledger(measure(docs, id_col, text_col, tuple(cols)))
     return book.where(passes(policy)).select(*[F.col(f"__carry{i}").alias(c) for i, c in enumerate(cols)])

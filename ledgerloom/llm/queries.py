@@ -55,6 +55,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v1").alias("kept"), "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule removes under every policy, from the stored ledger of all documents."""
+    book = quality.ledger(quality.measure(_table(spark, sf_dir, "documents")))
+    each = [quality.ablations(book, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_alone", "n_kept_without") for p in quality.POLICIES]
+    return each[0].unionByName(each[1])
+
+
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     both = bpe_prefix.encode(_table(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
@@ -66,7 +73,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op3_mtree, op4_secrets, op5_mixing, op6_token_counts, op7_jaccard, op8_quality, op9_bpe_prefix, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_packed_tokens, op3_mtree, op4_secrets, op5_mixing, op6_token_counts, op7_jaccard, op8_quality, op9_bpe_prefix, op10_licenses, quality_ablations)}
 
 
 _TOP = """
@@ -101,7 +108,7 @@ c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
-_QUALITY = rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
 h AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g) WHERE k > 1),
@@ -116,11 +123,16 @@ m AS (
 b AS (
     SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (4 * n_excl > n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT
         + 32 * (2 * n_caps > word_chars)::INT + 64 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS BIGINT) AS fail_bits FROM m
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+)"""
+_QUALITY = f"{_LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"
+_ABLATIONS = f"""{_LEDGER},
+r(rule, flag) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('exclamations', 8), ('repeated_lines', 16), ('capitals', 32), ('word_length', 64)),
+y(policy, mask) AS (VALUES ('base', 3), ('v1', 127))
+SELECT policy, rule, count(*) FILTER (fail_bits & flag <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = flag) AS n_alone, count(*) FILTER (fail_bits & mask & ~flag = 0) AS n_kept_without
+FROM b, r, y WHERE flag & mask <> 0 GROUP BY policy, rule
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against plain Python."""
-    return {"op3_mtree": _TOP, "op7_jaccard": _JACCARD, "op8_quality": _QUALITY}
+    return {"op3_mtree": _TOP, "op7_jaccard": _JACCARD, "op8_quality": _QUALITY, "quality_ablations": _ABLATIONS}
