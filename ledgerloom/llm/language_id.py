@@ -5,13 +5,16 @@ phrases, each the longest match that the labelled text has at that place (a symb
 phrase of its own). A phrase costs as many bits as a place in the labelled text needs, log2 of its length; the language
 that needs fewest bits wins, ties going to the name that sorts first.
 
-Texts are reduced to small letters and one separator between runs of them. Parsing never looks back, so a text is parsed
-in blocks of ``BLOCK`` symbols, all blocks of a batch and all languages one symbol at a time in arrays; a phrase ends at
-a block's edge, which adds at most one phrase a block, to every language alike.
+Texts are put in normal form C and reduced to small letters and one separator between runs of them; every letter of the
+labelled texts is a symbol, letters that none of them has share one. Transitions of all automata are the entries of one
+hash table by (state, symbol), so that a table takes memory by the number of transitions, not by states times letters.
+Parsing never looks back, so all texts of a batch and all languages go one symbol at a time in arrays; the last few
+texts, longer than all others, go one after the other over the same table. Either way a text is parsed whole, from its
+first symbol to its last.
 
-Labelled text is a bounded sample: per language at most ``PASSAGES`` passages of ``PASSAGE`` code points, from the middle
-of the texts, one for each of ``PASSAGES`` buckets of the texts' hashes (copies of a text share a bucket, the smallest
-hash of a bucket is taken). The ``LETTERS`` most frequent letters of the sample are symbols, all others share one.
+Labelled text is a bounded sample of whole texts: per language one text for each of ``PASSAGES`` buckets of the texts'
+hashes (copies of a text share a bucket), that of the smallest hash among the bucket's texts of at most ``LONGEST`` code
+points, or its shortest text, should all be longer.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; where nothing is labelled, everything is; rows with
 a null label or text teach nothing; repeated rows and ids give a row each; texts are parsed whole; an empty table gives
@@ -21,7 +24,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +34,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
 
-PASSAGES, PASSAGE, LETTERS, BLOCK = 64, 600, 250, 1024
+PASSAGES, LONGEST = 32, 3000
+#: Lanes (texts times languages) below which texts are parsed one by one.
+FEW = 128
 UNKNOWN = "und"
 Sample = tuple[tuple[str, tuple[str, ...]], ...]
 
 
+def normal(text: str) -> str:
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
 class SuffixAutomaton:
     """Minimal automaton of all substrings of a sequence."""
 
@@ -82,14 +91,13 @@ class SuffixAutomaton:
 
 
 class Alphabet:
-    """Code points to symbols: 0 separates, letters of the sample have their own, all other letters share the last."""
+    """Code points to symbols: 0 separates, letters of the labelled texts have their own, all other letters share the last."""
 
-    def __init__(self, texts: list[str], letters: int = LETTERS):
-        seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.letters = sorted(seen, key=lambda c: (-seen[c], c))[:letters]
+    def __init__(self, texts: Iterable[str]):
+        self.letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         self.size = len(self.letters) + 2
         own = {c: i + 1 for i, c in enumerate(self.letters)}
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
@@ -105,59 +113,126 @@ class Alphabet:
         return raw[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
+class Transitions:
+    """(state, symbol) to state, for many automata at once: a hash table with open places, half full at most."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        self.shift = 64 - max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << (64 - self.shift)) - 1
+        if len(to) and to.max() >= 1 << 31:
+            raise OverflowError("labelled texts have more states than 32 bits count")
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        at, left = self.places(keys), np.arange(len(keys))
+        while len(left):  # all keys that find their place open settle, one a place; the others move on by one
+            spot = at[left]
+            open_ = self.keys[spot] == -1
+            _, one = np.unique(np.where(open_, spot, -1 - np.arange(len(spot))), return_index=True)
+            won = one[open_[one]]
+            self.keys[spot[won]], self.to[spot[won]] = keys[left[won]], to[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left = left[rest]
+            at[left] = (at[left] + 1) & self.mask
+        self.flat = memoryview(self.keys), memoryview(self.to)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys lead, -1 where there is no transition."""
+        at = self.places(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], -1)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (held != -1)]
+        return out
+
+    def one(self, key: int) -> int:
+        keys, to = self.flat
+        at = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> self.shift
+        while (held := keys[at]) != key:
+            if held == -1:
+                return -1
+            at = (at + 1) & self.mask
+        return to[at]
+
+
 class CrossParser:
-    """The automata of all languages as one table of transitions."""
+    """The automata of all languages over one table of transitions; a language's start state is its root."""
 
     def __init__(self, sample: Sample):
         self.names = [name for name, _ in sample]
-        self.alphabet = Alphabet([unicodedata.normalize("NFC", t) for _, ts in sample for t in ts])
-        width, tables, roots, self.bits = self.alphabet.size, [], [], []
-        states = 0
-        for _, texts in sample:
-            symbols, _ = self.alphabet.symbols([unicodedata.normalize("NFC", t) for t in texts])
+        texts = [[normal(t) for t in ts] for _, ts in sample]
+        self.alphabet = Alphabet(t for ts in texts for t in ts)
+        self.width, states = self.alphabet.size, 0
+        keys, to, roots, bits = [], [], [], []
+        for ts in texts:
+            symbols, _ = self.alphabet.symbols(ts)
             automaton = SuffixAutomaton(symbols.tolist())
-            n = len(automaton.next)
-            to = np.full((n, width), -1, np.int64)
-            for s, row in enumerate(automaton.next):
-                for c, q in row.items():
-                    to[s, c] = q
-            # A dead end closes the phrase and opens one with this symbol; a symbol that the language lacks is one more phrase.
-            fresh = to[0] >= 0
-            step, dead = np.zeros((n, width), np.int64), to < 0
-            to = np.where(dead, np.where(fresh, to[0], 0), to)
-            step[dead] = np.broadcast_to(np.where(fresh, 1, 2), (n, width))[dead]
-            step[0, ~fresh] = 1
-            tables.append((((to + states) * width) << 2 | step).astype(np.int32))
-            roots.append(states * width)
-            states += n
-            self.bits.append(np.log2(max(2, len(symbols))))
-        self.table = np.concatenate([t.reshape(-1) for t in tables]) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)
+            degree = np.fromiter(map(len, automaton.next), np.int64, len(automaton.next))
+            n = int(degree.sum())
+            symbol = np.fromiter((c for row in automaton.next for c in row), np.int64, n)
+            keys.append((np.repeat(np.arange(len(degree)), degree) + states) * self.width + symbol)
+            to.append(np.fromiter((q for row in automaton.next for q in row.values()), np.int64, n) + states)
+            roots.append(states)
+            states += len(degree)
+            bits.append(np.log2(max(2, len(symbols))))
+        self.roots, self.bits = np.array(roots, np.int64), np.array(bits)
+        self.moves = Transitions(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*to, np.zeros(0, np.int64)]))
+
+    def _rest(self, state: int, root: int, symbols: list[int]) -> int:
+        """Phrases that open from ``state`` on; the one that is open in it is counted already, as a state off the root."""
+        one, width, n = self.moves.one, self.width, 0
+        for c in symbols:
+            after = one(state * width + c)
+            if after < 0:
+                after = one(root * width + c) if state != root else -1
+                n += 1
+                if after < 0:  # a phrase of its own
+                    state = root
+                    continue
+            elif state == root:
+                n += 1
+            state = after
+        return n
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of every text by language, and which texts have a letter."""
-        symbols, starts = self.alphabet.symbols(texts)
+        symbols, starts = self.alphabet.symbols([normal(t) for t in texts])
         lengths = np.diff(starts)
-        counts = np.maximum(1, -(-lengths // BLOCK))
-        owner = np.repeat(np.arange(len(texts)), counts)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        first = starts[:-1][owner] + inside * BLOCK
-        size = np.minimum(BLOCK, starts[1:][owner] - first)
-        order = np.argsort(-size, kind="stable")
-        first, size, owner = first[order], size[order], owner[order]
-        at = np.broadcast_to(self.roots[:, None], (len(self.roots), len(owner))).copy()
-        phrases = np.zeros(at.shape, np.int32)
+        order = np.argsort(-lengths, kind="stable")
+        first, size = starts[:-1][order], lengths[order]
+        langs = len(self.roots)
+        roots = np.broadcast_to(self.roots[:, None], (langs, len(texts)))
+        state, phrases = roots.copy(), np.zeros((langs, len(texts)), np.int64)
         longest = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
         for t in range(longest):
             n = active[t]
-            move = self.table[at[:, :n] + symbols[first[:n] + t]]
-            phrases[:, :n] += move & 3
-            at[:, :n] = move >> 2
-        phrases += at != self.roots[:, None]
-        total = np.zeros((len(self.names), len(texts)))
-        for k in range(len(self.names)):
-            total[k] = np.bincount(owner, phrases[k], len(texts)) * self.bits[k]
+            if n * langs < FEW:
+                for j in range(n):
+                    rest = symbols[first[j] + t : first[j] + size[j]].tolist()
+                    for k in range(langs):
+                        phrases[k, j] += self._rest(int(state[k, j]), int(self.roots[k]), rest)
+                break
+            now, root, c = state[:, :n].ravel(), roots[:, :n].ravel(), np.tile(symbols[first[:n] + t].astype(np.int64), langs)
+            after = self.moves.find(now * self.width + c)
+            dead = np.flatnonzero(after < 0)
+            new = now == root  # a phrase opens where none is open, or where the open one ends
+            if len(dead):
+                new[dead] = True
+                again = dead[now[dead] != root[dead]]
+                after[again] = self.moves.find(root[again] * self.width + c[again])
+                after = np.where(after < 0, root, after)
+            state[:, :n] = after.reshape(langs, n)
+            phrases[:, :n] += new.reshape(langs, n)
+        total = np.zeros((langs, len(texts)))
+        total[:, order] = phrases * self.bits[:, None]
         letters = np.concatenate([[0], np.cumsum(symbols != 0)])
         return total, letters[starts[1:]] > letters[starts[:-1]]
 
@@ -180,12 +255,15 @@ def cross_parser(sample: Sample) -> CrossParser:
 caches("languages", cross_parser.cache_clear)
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", passages: int = PASSAGES, passage: int = PASSAGE) -> Sample:
-    """The bounded sample of every label, on the driver."""
+def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", passages: int = PASSAGES, longest: int = LONGEST) -> Sample:
+    """The bounded sample of every label, on the driver: at most ``passages`` whole texts a label."""
     t, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string")
-    middle = F.substring(t, F.greatest(F.lit(1), (F.length(t) / 2 - passage // 2).cast("int")), F.lit(passage))
-    rows = labelled.where(t.isNotNull() & label.isNotNull()).select(label.alias("label"), F.xxhash64(t).alias("h"), middle.alias("p"))
-    picked = rows.groupBy("label", F.pmod("h", F.lit(passages)).alias("bucket")).agg(F.min(F.struct("h", "p")).alias("m")).select("label", "bucket", "m.p").collect()
+    over = F.greatest(F.lit(0), F.length(t) - longest)
+    rows = labelled.where(t.isNotNull() & label.isNotNull()).select(label.alias("label"), over.alias("over"), F.xxhash64(t).alias("h"), t.alias("p"))
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(passages)))
+    # Texts don't travel until one a bucket is chosen: at most ``passages`` rows a label.
+    best = rows.groupBy("label", "bucket").agg(F.min(F.struct("over", "h")).alias("m")).select("label", "bucket", "m.h")
+    picked = rows.join(F.broadcast(best), ["label", "bucket", "h"]).groupBy("label", "bucket").agg(F.min("p").alias("p")).collect()
     by: dict[str, list[tuple[int, str]]] = {}
     for r in picked:
         by.setdefault(r["label"], []).append((r["bucket"], r["p"]))

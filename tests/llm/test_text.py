@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -44,8 +45,40 @@ def test_parser_equals_automata(spark):
         a = language_id.SuffixAutomaton(parser.alphabet.symbols(list(passages))[0].tolist())
         for j, t in enumerate(texts):
             s = parser.alphabet.symbols([t])[0].tolist()
-            want = sum(a.phrases(s[i : i + language_id.BLOCK]) for i in range(0, len(s), language_id.BLOCK))
-            assert bits[k, j] == pytest.approx(want * parser.bits[k])
+            assert bits[k, j] == pytest.approx(a.phrases(s) * parser.bits[k])
+
+
+def test_many_languages():
+    rng = random.Random(7)
+    alphabet = [chr(c) for c in (*range(0x430, 0x450), *range(0x4E00, 0x5200), *range(0x61, 0x7B))]
+    made = {}
+    for k in range(60):
+        letters = rng.sample(alphabet, 30)
+        made[f"l{k:03d}"] = ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(60)]
+    text = lambda name, n: " ".join(rng.choices(made[name], k=n))
+    parser = language_id.CrossParser(tuple((name, tuple(text(name, 300) for _ in range(3))) for name in made))
+    assert len(parser.alphabet.letters) > 600
+    names = list(made)
+    assert [a for a, _ in parser.predict([text(n, 30) for n in names])] == names
+    same = language_id.CrossParser((("a", ("one two three",)), ("b", ("one two three",))))
+    assert same.predict(["two", "日"]) == [("a", 0.0), ("a", 0.0)]  # ties
+
+
+def test_normal_forms():
+    fr = "l'été à la forêt, où l'élève préféré a dû goûter la crème brûlée près du château, ça va très bien"
+    es = "el niño pequeño comió piña y jamón en el jardín del señor, después cantó una canción con corazón"
+    parser = language_id.CrossParser((("es", (es,)), ("fr", (fr,))))
+    probes = ["la crème brûlée du château préféré", "el niño comió jamón en el jardín"]
+    bits = [parser.costs([unicodedata.normalize(form, p) for p in probes])[0] for form in ("NFC", "NFD")]
+    assert (bits[0] == bits[1]).all() and [a for a, _ in parser.predict([unicodedata.normalize("NFD", p) for p in probes])] == ["fr", "es"]
+
+
+def test_sample_is_of_whole_texts(spark):
+    rows = [(i, f"wort{i} " * 20, "de", "s", 0) for i in range(100)] + [(200, "nur dies " * 2000, "la", "s", 0), (201, "nur das " * 3000, "la", "s", 0), (202, None, "la", "s", 0), (203, "x", None, "s", 0)] + [(300 + i, "kopie " * 50, "de", "s", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sample = dict(language_id.learn(docs, passages=8))
+    texts = {r[1] for r in rows}
+    assert set(sample) == {"de", "la"} and len(sample["de"]) == 8 and all(t in texts for ts in sample.values() for t in ts) and 1 <= len(sample["la"]) <= 2
 
 
 def test_language_accuracy(spark):
