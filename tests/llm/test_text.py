@@ -346,3 +346,38 @@ def test_licenses(spark):
             places = [(k, lab) for p, lab in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
             assert (got[i]["n_words"], got[i]["n_base"]) == (len(w), len(places)), i
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_licenses_against_every_place(spark):
+    """The index finds what a scan of all rows at all places finds, with licence texts whole, cut, changed and filled in."""
+    rng = random.Random(3)
+    templates = (*licenses.TEMPLATES, *licenses.whole_texts())
+    index = licenses.LicenseIndex(templates)
+    texts = {name: next(t.text for t in licenses.whole_texts() if t.label == label) for name, label in (("mit", "mit"), ("bsd", "bsd"), ("zlib", "zlib"), ("isc", "isc"), ("boost", "boost"), ("unlicense", "unlicense"))}
+    made = [None, "", *texts.values()]
+    for text in texts.values():
+        words = text.split()
+        for loss in (0.02, 0.1, 0.3):
+            made.append("# " + " ".join(w if rng.random() > loss else rng.choice(["", "x", "other words"]) for w in words))
+        made += [" ".join(words[: len(words) // 2]), "code before\n" * 5 + text.replace("the", "THE") + "\ncode after"]
+    made += [" ".join(rng.choice([t.text for t in licenses.TEMPLATES]) + rng.choice([" and ", " mit license ", ". "]) for _ in range(3)) for _ in range(20)]
+    got = {r["doc_id"]: (r["labels"], [tuple(x) for x in r["notices"]]) for r in licenses.scan_licenses(frame(spark, list(enumerate(made)))).collect()}
+    for i, t in enumerate(made):
+        words = licenses.words_of((t or "").encode())
+        every = ((k, s, index.agreed(k, s, words)) for k, (_, ws) in enumerate(index.rows) for s in range(1 - len(ws), len(words)))
+        want = index.settle([m for m in every if m[2] >= 0.8], words)
+        base = {label for p, label in licenses.BASE if any(words[k : k + len(p.split())] == p.encode().split() for k in range(len(words)))}
+        assert got[i] == (",".join(sorted(base | {label for label, _, _ in want})), want), i
+    for name, text in texts.items():
+        assert name in got[made.index(text)][0].split(",")
+
+
+def test_whole_licences(spark):
+    whole = licenses.whole_texts()
+    filled = [(i, t.text.replace("copyright notice", "copyright notice of Some One").replace("\n", "\n// ")) for i, t in enumerate(whole)]
+    rows = [(i, t.text) for i, t in enumerate(whole)]
+    for made in (rows, filled):
+        got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, made)).collect()}
+        assert all(t.label in got[i] for i, t in enumerate(whole))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert all("lgpl" not in got[i] for i, t in enumerate(whole) if t.label not in ("lgpl", "gpl"))
