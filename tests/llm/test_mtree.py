@@ -46,3 +46,27 @@ def test_bounds_pass_over_vectors():
     best, compared = tree.search(x[3], 3, 5, most)
     want = sorted(((int(s), -i) for i, s in enumerate(x @ x[3]) if i != 3), reverse=True)[:5]
     assert [(s, -i) for s, i in best] == want and compared < len(x) / 2
+
+
+def test_cells_are_passed_over(spark):
+    rng = random.Random(9)
+    # Inner products tell these clusters apart: all but a query's own are at right angles to it.
+    rows = [(i, [1000.0 * (b == i % 16) + rng.gauss(0, 1) for b in range(16)]) for i in range(1600)] + [(50, [1.0] * 16), (50, [900.0] + [1.0] * 15)]  # repeated ids
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], SCHEMA)
+    ask = F.col("vec_id") % 50 == 0
+    got = mtree.top_k(df, ask, factor=1, shard_size=100)
+    flat = [(i, [x / 256 for x in v]) for i, v in ((i, [float(np.float32(x)) for x in v]) for i, v in rows)]
+    want = set()
+    fine = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in flat]
+    for i, q in {(i, tuple(q)) for i, q in fine if i % 50 == 0}:
+        for r, (s, j) in enumerate(sorted(((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in fine if j != i))[:5]):
+            want.add((i, r + 1, j, -s))
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    cost = mtree.comparisons(df, ask, factor=1, shard_size=100).first()
+    assert cost["vectors"] == len(rows) and cost["share"] < 0.3
+
+
+def test_too_large_raises(spark):
+    df = spark.createDataFrame([(0, [1.0, 1e30], ""), (1, [2.0, 0.0], "")], SCHEMA)
+    with pytest.raises(OverflowError):
+        mtree.top_k(df, F.col("vec_id") % 50 == 0)
