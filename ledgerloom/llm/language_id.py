@@ -8,9 +8,10 @@ that needs fewest bits wins, ties going to the name that sorts first.
 Texts are put in normal form C and reduced to small letters and one separator between runs of them; every letter of the
 labelled texts is a symbol, letters that none of them has share one. Transitions of all automata are the entries of one
 hash table by (state, symbol), so that a table takes memory by the number of transitions, not by states times letters.
-Parsing never looks back, so all texts of a batch and all languages go one symbol at a time in arrays; the last few
-texts, longer than all others, go one after the other over the same table. Either way a text is parsed whole, from its
-first symbol to its last.
+Parsing never looks back beyond a phrase, so texts are cut into blocks of ``BLOCK`` symbols, and all blocks and languages go
+one symbol at a time in arrays, as if a phrase opened at each block's start. The parse that enters a block is then followed
+until it opens a phrase where the block's own parse opens one; from there on both are the same. So the blocks leave no
+trace: a text costs what one parse from its first symbol to its last does.
 
 Labelled text is a bounded sample of whole texts: per language one text for each of ``PASSAGES`` buckets of the texts'
 hashes (copies of a text share a bucket), that of the smallest hash among the bucket's texts of at most ``LONGEST`` code
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import caches, map_texts, text_or_empty
 
 PASSAGES, LONGEST = 32, 3000
-#: Lanes (texts times languages) below which texts are parsed one by one.
-FEW = 128
+#: Symbols of a block; blocks times languages that are parsed at once.
+BLOCK, LANES = 1024, 16384
 UNKNOWN = "und"
 Sample = tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -114,14 +115,14 @@ class Alphabet:
 
 
 class Transitions:
-    """(state, symbol) to state, for many automata at once: a hash table with open places, half full at most."""
+    """(state, symbol) to state, for many automata at once: a hash table with open places, a quarter full at most."""
 
     def __init__(self, keys: np.ndarray, to: np.ndarray):
-        self.shift = 64 - max(4, int(2 * len(keys)).bit_length())
+        self.shift = 64 - max(4, int(4 * len(keys) - 1).bit_length())
         self.mask = (1 << (64 - self.shift)) - 1
         if len(to) and to.max() >= 1 << 31:
             raise OverflowError("labelled texts have more states than 32 bits count")
-        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
         at, left = self.places(keys), np.arange(len(keys))
         while len(left):  # all keys that find their place open settle, one a place; the others move on by one
             spot = at[left]
@@ -136,20 +137,21 @@ class Transitions:
         self.flat = memoryview(self.keys), memoryview(self.to)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where the keys lead, -1 where there is no transition."""
         at = self.places(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.to[at], -1)
-        left = np.flatnonzero((held != keys) & (held != -1))
+        held = self.keys.take(at)
+        out = self.to.take(at)  # an open place leads to -1
+        left = np.flatnonzero(held != keys)
+        left = left[held.take(left) != -1]
         while len(left):
-            at[left] = (at[left] + 1) & self.mask
-            held = self.keys[at[left]]
-            hit = held == keys[left]
-            out[left[hit]] = self.to[at[left[hit]]]
-            left = left[~hit & (held != -1)]
+            at[left] = (at.take(left) + 1) & self.mask
+            held = self.keys.take(at.take(left))
+            here = keys.take(left)
+            out[left] = np.where((held == here) | (held == -1), self.to.take(at.take(left)), -1)
+            left = left[(held != here) & (held != -1)]
         return out
 
     def one(self, key: int) -> int:
@@ -185,56 +187,81 @@ class CrossParser:
         self.roots, self.bits = np.array(roots, np.int64), np.array(bits)
         self.moves = Transitions(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*to, np.zeros(0, np.int64)]))
 
-    def _rest(self, state: int, root: int, symbols: list[int]) -> int:
-        """Phrases that open from ``state`` on; the one that is open in it is counted already, as a state off the root."""
-        one, width, n = self.moves.one, self.width, 0
-        for c in symbols:
-            after = one(state * width + c)
-            if after < 0:
-                after = one(root * width + c) if state != root else -1
-                n += 1
-                if after < 0:  # a phrase of its own
-                    state = root
-                    continue
-            elif state == root:
-                n += 1
-            state = after
-        return n
-
-    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of every text by language, and which texts have a letter."""
-        symbols, starts = self.alphabet.symbols([normal(t) for t in texts])
-        lengths = np.diff(starts)
-        order = np.argsort(-lengths, kind="stable")
-        first, size = starts[:-1][order], lengths[order]
-        langs = len(self.roots)
-        roots = np.broadcast_to(self.roots[:, None], (langs, len(texts)))
-        state, phrases = roots.copy(), np.zeros((langs, len(texts)), np.int64)
-        longest = int(size[0]) if len(size) else 0
+    def _blocks(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase opens, by (language, block, place), and the state at every block's end, of blocks parsed alone."""
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        langs, n = len(self.roots), len(first)
+        roots = np.broadcast_to(self.roots[:, None], (langs, n))
+        state, longest = roots.copy(), int(size[0])
+        opens = np.zeros((longest, langs, n), bool)
         active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
         for t in range(longest):
-            n = active[t]
-            if n * langs < FEW:
-                for j in range(n):
-                    rest = symbols[first[j] + t : first[j] + size[j]].tolist()
-                    for k in range(langs):
-                        phrases[k, j] += self._rest(int(state[k, j]), int(self.roots[k]), rest)
-                break
-            now, root, c = state[:, :n].ravel(), roots[:, :n].ravel(), np.tile(symbols[first[:n] + t].astype(np.int64), langs)
+            m = active[t]
+            now, root = state[:, :m].ravel(), roots[:, :m].ravel()
+            c = np.broadcast_to(symbols[first[:m] + t], (langs, m)).ravel()
             after = self.moves.find(now * self.width + c)
             dead = np.flatnonzero(after < 0)
             new = now == root  # a phrase opens where none is open, or where the open one ends
             if len(dead):
                 new[dead] = True
+                after[dead] = root[dead]
                 again = dead[now[dead] != root[dead]]
-                after[again] = self.moves.find(root[again] * self.width + c[again])
-                after = np.where(after < 0, root, after)
-            state[:, :n] = after.reshape(langs, n)
-            phrases[:, :n] += new.reshape(langs, n)
-        total = np.zeros((langs, len(texts)))
-        total[:, order] = phrases * self.bits[:, None]
+                if len(again):
+                    there = self.moves.find(root[again] * self.width + c[again])
+                    after[again] = np.where(there < 0, root[again], there)  # a symbol that the language lacks is a phrase
+            state[:, :m] = after.reshape(langs, m)
+            opens[t, :, :m] = new.reshape(langs, m)
+        back = np.argsort(order, kind="stable")
+        return np.ascontiguousarray(opens.transpose(1, 2, 0)[:, back]), state[:, back]
+
+    def _enter(self, state: int, root: int, symbols: memoryview, opens: memoryview, total: int) -> tuple[int, int | None]:
+        """Phrases that a parse in ``state`` opens in a block, and its state at the end, null where it is the block's own."""
+        one, width, mine, own = self.moves.one, self.width, 0, 0
+        for c, opened in zip(symbols, opens, strict=False):
+            after = one(state * width + c)
+            if after < 0 or state == root:
+                if opened:
+                    return mine + total - own, None
+                mine += 1
+                if after < 0 and state != root:
+                    after = one(root * width + c)
+            own += opened
+            state = root if after < 0 else after
+        return mine, state
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of every text by language, and which texts have a letter."""
+        symbols, starts = self.alphabet.symbols([normal(t) for t in texts])
+        lengths = np.diff(starts)
+        counts = -(-lengths // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = starts[:-1][owner] + inside * BLOCK
+        size = np.minimum(BLOCK, starts[1:][owner] - first)
+        langs = len(self.roots)
+        phrases, state = np.zeros((langs, len(texts)), np.int64), [0] * langs
+        per, view = max(1, LANES // max(1, langs)), memoryview(symbols)
+        for low in range(0, len(owner), per):
+            part = slice(low, low + per)
+            opens, ends = self._blocks(symbols, first[part], size[part])
+            total = opens.sum(2)
+            head = inside[part] == 0
+            np.add.at(phrases.T, owner[part][head], total[:, head].T)
+            ends_at = ends.T.tolist()
+            for b in range(len(head)):
+                if head[b]:
+                    state = ends_at[b]
+                    continue
+                at, j = low + b, int(owner[low + b])
+                cut, after = view[first[at] : first[at] + size[at]], []
+                for k in range(langs):
+                    n, end = self._enter(state[k], int(self.roots[k]), cut, opens[k, b].data, int(total[k, b]))
+                    phrases[k, j] += n
+                    after.append(ends_at[b][k] if end is None else end)
+                state = after
         letters = np.concatenate([[0], np.cumsum(symbols != 0)])
-        return total, letters[starts[1:]] > letters[starts[:-1]]
+        return phrases * self.bits[:, None], letters[starts[1:]] > letters[starts[:-1]]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and the share of bits that it saves against the runner-up."""
