@@ -2,18 +2,17 @@
 
 A pre-token is a run of word-boundary marks with what follows it up to the next mark. The vocabulary has no piece that
 continues past such a mark (checked when the model is loaded), so no merge crosses a pre-token and the tokens of a text
-are those of its pre-tokens. Three tables in the shared folder:
+are those of its pre-tokens. Three steps:
 
 1. Frequencies: a row a document, its distinct pre-tokens as numbers and how often each occurs. Numbers are places in the
    list of distinct pre-tokens of the document's block, a run of documents of one task that ends at ``BLOCK_DOCS``
    documents or ``BLOCK_WORDS`` distinct pre-tokens; that list is kept once, with the block's first document.
-2. Pieces: every distinct pre-token of the corpus, once, with its number of pieces by the library.
-3. Counts: the pieces table joined to every block's list on the pre-token.
+2. Pieces: the blocks' lists, dealt and sorted by pre-token. Each distinct pre-token of the corpus stands in one run there;
+   the library counts it once, for all the blocks that list it.
+3. A block's counts then meet its documents' frequencies, and a document's tokens are the sum of products.
 
-A block's counts then meet its documents' frequencies, and a document's tokens are the sum of products. The join moves a
-block's list, not its documents' words, so that its shuffles hold a vocabulary a block, not a corpus. Ids are never made.
-A frequent pre-token has a row a block in that join, combined before it is shuffled for the distinct table; adaptive
-execution splits it in the join.
+What is joined is a vocabulary a block, not the words of a corpus, and ids are never made. A block lists a pre-token once,
+so that the most frequent one of the corpus has a row a block: no more than one of the thousands of its block.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and ids give a row each; very long texts are
 counted whole (one that fills a block alone ends it); an empty table gives an empty result; other columns are not read,
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import SLICE, caches, enter, materialise, ready, text_or_empty
 
 MARK = "▁"
-BLOCK_DOCS, BLOCK_WORDS = 8192, 60_000
+BLOCK_DOCS, BLOCK_WORDS = 16_384, 400_000
 _RUN = re.compile(r" +[^ ]*")
 
 
@@ -75,6 +74,17 @@ def pieces(model_file: str) -> Pieces:
 caches("pieces", pieces.cache_clear)
 
 
+def _thin(at: np.ndarray) -> bytes:
+    """Rising numbers in two bytes each where that is enough, else in four, the low halves of all before the high ones, which hardly vary."""
+    low = (at & 0xFFFF).astype(np.uint16).tobytes()
+    return low if not len(at) or at[-1] < 1 << 16 else low + (at >> 16).astype(np.uint16).tobytes()
+
+
+def _thick(held: bytes, n: int) -> np.ndarray:
+    halves = np.frombuffer(held, np.uint16)
+    return halves if len(halves) == n else halves[:n] | halves[n:].astype(np.uint32) << 16
+
+
 class Block:
     """Documents in the making: their frequencies by place in one list of distinct pre-tokens."""
 
@@ -89,8 +99,10 @@ class Block:
         seen, places = Counter(pre_tokens(text)), self.places
         at = np.fromiter((places.setdefault(w, len(places)) for w in seen), np.uint32, len(seen))
         n = np.fromiter(seen.values(), np.uint32, len(seen))
+        order = np.argsort(at)
+        at, n = at[order], n[order]
         # Both in as few bytes as all of a document's need; ``distinct`` tells how many that is.
-        self.words.append((at.astype(np.uint16) if len(places) <= 1 << 16 else at).tobytes())
+        self.words.append(_thin(at))
         self.times.append((n.astype(np.uint8) if not len(n) or n.max() < 256 else n).tobytes())
         self.distinct.append(len(n))
 
@@ -130,32 +142,37 @@ def frequencies(docs: DataFrame, id_col: str, text_col: str, block_words: int =
     return materialise(thin.mapInArrow(run, f"id {thin.dtypes[0][1]}, n_bytes long, block long, list array<string>, distinct int, words binary, times binary"), "frequencies")
 
 
-def piece_counts(words: DataFrame, model_file: str) -> DataFrame:
-    """Rows (word, n) of distinct pre-tokens (word), each counted once."""
+def piece_counts(listed: DataFrame, model_file: str) -> DataFrame:
+    """Rows (of, at, n) from (word, block, at): how many pieces the pre-token has, each distinct one counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces")
-        model = pieces(model_file)
+        model, last, count = pieces(model_file), None, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.count(b.column(0).to_pylist()), pa.int32())], names=["word", "n"])
+            words = b.column(0).to_pylist()
+            new = [w for before, w in zip([last, *words], words, strict=False) if w != before]
+            made, n = iter(model.count(new)), []
+            for w in words:
+                if w != last:
+                    last, count = w, next(made)
+                n.append(count)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n, pa.int32())], names=["of", "at", "n"])
 
-    return materialise(words.mapInArrow(run, "word string, n int"), "pieces")
+    return listed.select("word", "block", "at").repartition("word").sortWithinPartitions("word").mapInArrow(run, "of long, at int, n int")
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit); see the module for the cases."""
     ready(docs.sparkSession)
     held = frequencies(docs, id_col, text_col, block_words)
-    listed = held.where("list IS NOT NULL").select("block", F.posexplode("list").alias("at", "word"))
-    counted = piece_counts(listed.select("word").distinct(), model_file)
-    counts = listed.join(counted, "word").select(F.col("block").alias("of"), "at", "n")
+    counts = piece_counts(held.where("list IS NOT NULL").select("block", F.posexplode("list").alias("at", "word")), model_file)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = np.zeros(right.num_rows, np.int64)
         table[right.column("at").to_numpy()] = right.column("n").to_numpy()
         totals = []
         for k, w, t in zip(*(left.column(c).to_pylist() for c in ("distinct", "words", "times")), strict=True):
-            at = np.frombuffer(w, np.uint16 if len(w) == 2 * k else np.uint32)
+            at = _thick(w, k)
             n = np.frombuffer(t, np.uint8 if len(t) == k else np.uint32)
             totals.append(int(table[at] @ n.astype(np.int64)))
         return pa.table([left.column("id"), left.column("n_bytes"), pa.array(totals, pa.int64())], names=["id", "n_bytes", "n_tokens"])
