@@ -81,26 +81,30 @@ def without_hubs(windowed: DataFrame, cfg: Detector) -> DataFrame:
     return kept.join(hubs.withColumnRenamed("acct", "dst"), ["w", "dst"], "left_anti")
 
 
-def groups(windowed: DataFrame, cfg: Detector) -> DataFrame:
-    """Every transfer of every group of every window, before size limits: (w, component, transfer columns)."""
-    kept = without_hubs(windowed, cfg)
-    labels = window_components(kept)
-    return kept.join(labels.withColumnRenamed("node", "src"), ["w", "src"])
+def groups(windowed: DataFrame, cfg: Detector) -> tuple[DataFrame, DataFrame]:
+    """Every transfer of every group of every window, before size limits, (w, component, transfer columns), and the accounts of
+    every group, (w, node, component). Both are tables: groups are found once."""
+    kept = written(without_hubs(windowed, cfg).select("w", "window_start", "txn_id", "src", "dst"), "windowed")
+    labels = written(window_components(kept), "labels")
+    return kept.join(labels.withColumnRenamed("node", "src"), ["w", "src"]), labels
 
 
 def candidates(ledger: DataFrame, cfg: Detector, windowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, members). A candidate is a group within the size limits, once for all windows that hold the same
     transfers, in the earliest; its key is (w, first_txn). Members are its transfers. Candidates are written once, so that
     nothing after them finds components again. ``windowed`` replaces the windows that start at the first transfer."""
-    rows = groups(assign_windows(ledger, cfg) if windowed is None else windowed, cfg)
-    each = rows.groupBy("w", "component").agg(F.first("window_start").alias("window_start"), F.count("*").alias("txns"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("accounts"))
-    n = F.size("accounts")
+    rows, labels = groups(assign_windows(ledger, cfg) if windowed is None else windowed, cfg)
+    # Groups are sized before anything is collected, so that what is gathered stays within the limits.
+    n = F.col("accounts")
+    sizes = labels.groupBy("w", "component").agg(F.count("*").alias("accounts"))
     fits = (F.col("txns") >= cfg.min_txns) & (n >= cfg.min_accounts)
     if cfg.max_txns:
         fits &= F.col("txns") <= cfg.max_txns
     if cfg.max_accounts:
         fits &= n <= cfg.max_accounts
-    once = each.where(fits).groupBy("txn_ids").agg(F.min("w").alias("w"), F.min("window_start").alias("window_start"), F.first("accounts").alias("accounts"), F.first("txns").alias("txns"))
+    fit = rows.groupBy("w", "component").agg(F.count("*").alias("txns")).join(sizes, ["w", "component"]).where(fits).select("w", "component")
+    each = rows.join(fit, ["w", "component"], "left_semi").groupBy("w", "component").agg(F.first("window_start").alias("window_start"), F.count("*").alias("txns"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("accounts"))
+    once = each.groupBy("txn_ids").agg(F.min("w").alias("w"), F.min("window_start").alias("window_start"), F.first("accounts").alias("accounts"), F.first("txns").alias("txns"))
     found = once.withColumn("first_txn", F.element_at("txn_ids", 1))
     found = written(found.select("w", "first_txn", "window_start", "txn_ids", "accounts", "txns"), "candidates")
     bridge = found.select("w", "first_txn", "window_start", F.explode("txn_ids").alias("txn_id"))

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import Detector
 from ledgerloom.operators.detect import origin_of
+from ledgerloom.operators.evaluate import running
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
-    """One row (n, mean, p50, p95, p99, least, most); percentiles are exact, by nearest rank."""
-    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)")
-    return rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """One row (n, mean, p50, p95, p99, least, most); percentiles are exact, by nearest rank: the least value that a share of
+    the rows does not exceed. Values are counted, and their places come from a range-partitioned running sum."""
+    known = rows.where(F.col(value).isNotNull())
+    facts = known.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    placed = running(known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("m")), [], "v", "m")
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(q) - 1e-9))
+    at = lambda q: F.max(F.when((F.col("before") < rank(q)) & (rank(q) <= F.col("before") + F.col("m")), F.col("v")))
+    places = placed.join(F.broadcast(facts.select("n"))).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return facts.join(F.broadcast(places)).select("n", "mean", "p50", "p95", "p99", "least", "most")
 
 
 def decision_times(ledger: DataFrame, cfg: Detector) -> DataFrame:

@@ -12,8 +12,9 @@ KEY = ["w", "first_txn"]
 
 
 def _uniform(account: Column, seed: int, draw: int) -> Column:
-    """A number in (0, 1) that depends on account, seed and draw alone."""
-    return (F.pmod(F.xxhash64(account, F.lit(seed), F.lit(draw)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number in (0, 1) that depends on account, seed and draw alone: ten hexadecimal digits of a digest."""
+    digits = F.substring(F.md5(F.concat_ws(":", account, F.lit(str(seed)), F.lit(str(draw)))), 1, 10)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 40)
 
 
 def first_seen(ledger: DataFrame) -> DataFrame:
@@ -47,11 +48,13 @@ def annotate(found: DataFrame, listed: DataFrame | None) -> DataFrame:
 
 
 def amplification(ranked: DataFrame, ledger: DataFrame, listed: DataFrame, budget: int) -> DataFrame:
-    """One row: listed accounts of the ledger, alerts they reach at the budget, further laundering accounts in those alerts, and their ratio."""
-    scope = first_seen(ledger)
-    on_list = listed.select("account").distinct().join(scope.select("account"), "account", "left_semi")
-    alerts = ranked.where(F.col("rank") <= budget).select(*KEY, F.explode("accounts").alias("account"))
-    reached = alerts.join(on_list, "account", "left_semi").select(*KEY).distinct()
-    implicated = alerts.join(reached, KEY, "left_semi").join(scope.where("dirty"), "account", "left_semi").join(on_list, "account", "left_anti").select("account").distinct()
-    row = on_list.agg(F.count("*").alias("listed")).join(F.broadcast(reached.agg(F.count("*").alias("reached")))).join(F.broadcast(implicated.agg(F.count("*").alias("implicated"))))
+    """One row: listed accounts that any ranked candidate holds, alerts within the budget that hold one listed by the start of
+    their window, further laundering accounts in those alerts, and their ratio."""
+    held = ranked.select(*KEY, "window_start", "rank", F.explode("accounts").alias("account"))
+    on_list = listed.join(held.select("account").distinct(), "account", "left_semi")
+    alerts = held.where(F.col("rank") <= budget)
+    reached = alerts.join(listed, "account").where("listed_us <= window_start").select(*KEY).distinct()
+    dirty = first_seen(ledger).where("dirty")
+    implicated = alerts.join(reached, KEY, "left_semi").join(dirty, "account", "left_semi").join(on_list, "account", "left_anti").select("account").distinct()
+    row = on_list.agg(F.countDistinct("account").alias("listed")).join(F.broadcast(reached.agg(F.count("*").alias("reached")))).join(F.broadcast(implicated.agg(F.count("*").alias("implicated"))))
     return row.withColumn("ratio", share(F.col("implicated"), F.col("listed")))

@@ -28,9 +28,16 @@ def vectors(ledger: DataFrame, history: DataFrame) -> DataFrame:
     return rows.select("txn_id", "ts_us", "src", "dst", "amount", "is_laundering", "pattern_id", *[c.alias(n) for c, n in zip(made, NAMES, strict=True)])
 
 
+def _placed(scored: DataFrame) -> DataFrame:
+    """The rows with ``rank`` from 1 by score, ties by id."""
+    from ledgerloom.operators.evaluate import rank
+
+    return rank(scored.withColumns({"w": F.lit(0).cast("long"), "first_txn": F.col("txn_id")})).drop("w", "first_txn")
+
+
 def flag_top(scored: DataFrame, budget: int) -> DataFrame:
     """The ``budget`` transfers of highest score, ties by id."""
-    return scored.orderBy(F.col("score").desc(), "txn_id").limit(budget)
+    return _placed(scored).where(F.col("rank") <= budget).drop("rank")
 
 
 def compare(scored: DataFrame, group_flagged: DataFrame, rings: DataFrame) -> DataFrame:
@@ -47,9 +54,7 @@ def compare(scored: DataFrame, group_flagged: DataFrame, rings: DataFrame) -> Da
 
 def percentiles(scored: DataFrame, order: Column | None = None) -> DataFrame:
     """(txn_id, pattern_id, pct): place by score from the riskiest, over the number of transfers; ties by id."""
-    from ledgerloom.operators.evaluate import rank
-
-    placed = rank(scored.withColumns({"w": F.lit(0).cast("long"), "first_txn": F.col("txn_id")})).drop("w", "first_txn")
+    placed = _placed(scored)
     n = scored.agg(F.count("*").alias("n"))
     return placed.join(F.broadcast(n)).withColumn("pct", F.col("rank") / F.col("n")).select("txn_id", "pattern_id", "is_laundering", "pct")
 

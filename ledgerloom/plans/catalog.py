@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.config import HOUR_US, Detector, Limits
-from ledgerloom.functions.scalars import from_micros, sigmoid
+from ledgerloom.config import HOUR_US, Detector, Limits, Policy
+from ledgerloom.functions.scalars import from_micros, micros, sigmoid
 from ledgerloom.operators import chain, detect, entity, evaluate, latency, models, policy, registry, rowscorer
 from ledgerloom.operators import features as feats
 from ledgerloom.sources import derived
@@ -45,9 +46,27 @@ def _ledger(spark: SparkSession, d: str, cfg: Detector = CFG) -> DataFrame:
     return detect.scan(derived.ledger(spark, d), cfg)
 
 
+_SHARED: dict[tuple, tuple] = {}
+
+
+def _version(spark: SparkSession, d: str) -> tuple:
+    """What tells one state of the events table from another: its files' sizes and times."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(path)
+    held = fs.listStatus(path) if top.isDirectory() else [top]
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in held))
+
+
 def _found(spark: SparkSession, d: str, cfg: Detector = CFG) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ledger = _ledger(spark, d, cfg)
-    return (ledger, *detect.candidates(ledger, cfg))
+    """Ledger, candidates and members. Queries of a session over the same tables share one detection, kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, cfg, _version(spark, d))
+    if key not in _SHARED:
+        ledger = _ledger(spark, d, cfg)
+        found, members = detect.candidates(ledger, cfg)
+        _SHARED[key] = (ledger, found, written(members, "members"))
+    return _SHARED[key]
 
 
 def fixed_score() -> Column:
@@ -270,11 +289,34 @@ def rank_topk(spark, d):
     return ranked.where(F.col("rank") <= 50).select(*big("rank"), "w", "first_txn", r6("score").alias("score"))
 
 
+def _budget_columns(out: DataFrame) -> DataFrame:
+    return out.select(*big("k", "flagged", "tp", "fp", "fn", "rings_found", "rings"), *[r6(c).alias(c) for c in ("value", "fp_value", "precision", "recall", "f1")])
+
+
 @query
 def eval_ranked_budgets(spark, d):
     ledger, _, members, ranked = _ranked(spark, d)
-    out = evaluate.ranked_budgets(ranked, members, ledger, BUDGETS)
-    return out.select(*big("k", "flagged", "tp", "fp", "fn", "rings_found", "rings"), r6("value").alias("value"), r6("precision").alias("precision"), r6("recall").alias("recall"))
+    return _budget_columns(evaluate.ranked_budgets(ranked, members, ledger, BUDGETS))
+
+
+def _held_out(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, members, candidates after the cut by rank among themselves)."""
+    ledger, _, members, ranked = _ranked(spark, d)
+    part = evaluate.split(ranked.drop("rank"), detect.split_time(ledger, 0.7))
+    return ledger, members, evaluate.rank(part.where("part = 'test'"))
+
+
+@query
+def eval_heldout_budgets(spark, d):
+    """Candidates after the cut alone, against the rings and the laundering that they hold."""
+    ledger, members, ranked = _held_out(spark, d)
+    return _budget_columns(evaluate.ranked_budgets(ranked, members, ledger, BUDGETS))
+
+
+@query
+def eval_heldout_shapes(spark, d):
+    ledger, members, ranked = _held_out(spark, d)
+    return evaluate.ranked_shapes(ranked, members, ledger, 25).select("typology", "rings", "rings_found", r6("rate").alias("rate"))
 
 
 @query
@@ -350,6 +392,16 @@ def _decided(spark, d, cfg: Detector = CFG) -> tuple[DataFrame, DataFrame]:
     return ledger, policy.apply_policy(asked).withColumns({"imposed_us": F.col("window_start") + cfg.width, "pass_hours": F.lit(cfg.window_hours)})
 
 
+#: How many alerts each pass of the replays works, and bounds that let the fixed weights block.
+WORKED = 60
+REPLAYED = Policy(block_score=0.78, block_confidence=0.75)
+
+
+def _source(spark, d, cfg: Detector, enforces: bool = True) -> policy.Source:
+    ranked = _ranked(spark, d, cfg)[3].withColumn("score", F.round("score", 9))
+    return policy.Source(cfg.window_hours, cfg.stride_hours, ranked, WORKED, Limits(freeze_hours=cfg.window_hours), enforces)
+
+
 @query
 def policy_apply(spark, d):
     ranked = _ranked(spark, d)[3].withColumn("total", F.col("total") * 2000)
@@ -390,19 +442,68 @@ def register_state(spark, d):
     return policy.register(e).select("w", "first_txn", "account", "tier", "outcome")
 
 
+def _replay_row(row: DataFrame) -> DataFrame:
+    counts = ("windows", "decisions", "blocks", "holds", "allows", "declined", "accounts_frozen", "accounts_watch", "unprotected", "checked", "laundering", "stopped", "stopped_laundering", "stopped_clean", "rings_hit", "from_us", "runway_us")
+    values = ("unprotected_laundering_value", "value", "laundering_value", "value_stopped", "laundering_value_stopped", "clean_value_stopped", "ceiling_value", "precision", "interception", "of_ceiling")
+    return row.select(*big(*counts), *[r6(c).alias(c) for c in values])
+
+
 @query
 def replay_summary(spark, d):
-    ledger, e = _events(spark, d)
-    first = ledger.agg((F.min("ts_us") + CFG.width).alias("first_us"))
-    out = policy.replay_summary(ledger, e, first)
-    return out.select(*big("stopped", "stopped_laundering", "unprotected", "rings_hit"), *[r6(c).alias(c) for c in ("laundering_value_stopped", "clean_value_stopped", "laundering_value", "precision", "interception")])
+    """The wide pass alone."""
+    return _replay_row(policy.replay(_ledger(spark, d), [_source(spark, d, CFG)], p=REPLAYED)[0])
+
+
+@query
+def replay_two_passes(spark, d):
+    """Both passes over one register."""
+    return _replay_row(policy.replay(_ledger(spark, d), [_source(spark, d, CFG), _source(spark, d, NARROW)], p=REPLAYED)[0])
+
+
+@query
+def replay_narrow_enforces(spark, d):
+    """Both passes decide, the narrow one alone leases."""
+    return _replay_row(policy.replay(_ledger(spark, d), [_source(spark, d, CFG, False), _source(spark, d, NARROW)], p=REPLAYED)[0])
 
 
 @query
 def replay_by_source(spark, d):
-    _, wide = _events(spark, d)
-    _, narrow = _events(spark, d, NARROW)
-    return policy.by_source(policy.register(wide.unionByName(narrow))).select(*big("pass_hours", "frozen", "watched", "new", "extended", "ignored"))
+    per = policy.replay(_ledger(spark, d), [_source(spark, d, CFG), _source(spark, d, NARROW)], p=REPLAYED)[1]
+    return per.select("pass", *big("pass_hours", "decisions", "blocks", "holds", "allows", "declined", "new", "escalations", "ignored"))
+
+
+@query
+def replay_configurations(spark, d):
+    """What every pass buys alone, and both together."""
+    sources, recalls = [], []
+    for cfg in (CFG, NARROW):
+        s = _source(spark, d, cfg)
+        ledger, _, members = _found(spark, d, cfg)
+        at = evaluate.ranked_budgets(s.ranked, members, ledger, (WORKED,)).groupBy().agg(F.min_by(F.struct("rings_found", "rings", "recall"), "k").alias("b"))
+        sources.append(s)
+        recalls.append(at.select(F.lit(s.label()).alias("pass"), "b.*"))
+    out = policy.combined(_ledger(spark, d), sources, recalls[0].unionByName(recalls[1]), REPLAYED)
+    return out.select("configuration", *big("rings_found", "rings", "rings_hit"), *[r6(c).alias(c) for c in ("recall", "laundering_value_stopped", "of_ceiling")])
+
+
+@query
+def lease_lookup(spark, d):
+    """The lease in force for every account of a transfer when it is sent, after every account of even length is released on the 480th hour."""
+    ledger, e = _events(spark, d)
+    start = ledger.agg(F.min("ts_us").alias("origin"))
+    lifts = e.select("account").distinct().where("length(account) % 2 = 0").join(F.broadcast(start)).select("account", (F.col("origin") + 480 * HOUR_US).alias("lifted_us"))
+    past = policy.history(e, lifts)
+    asked = ledger.select(F.col("src").alias("account"), F.col("ts_us").alias("at_us"))
+    return policy.lookup(past, asked).select("account", from_micros(F.col("at_us")).alias("sent"), "tier", from_micros(F.col("expires_us")).alias("expires"))
+
+
+@query
+def lease_history(spark, d):
+    """Every lease, with when it was lifted, if it was."""
+    ledger, e = _events(spark, d)
+    start = ledger.agg(F.min("ts_us").alias("origin"))
+    lifts = e.select("account").distinct().where("length(account) % 2 = 0").join(F.broadcast(start)).select("account", (F.col("origin") + 480 * HOUR_US).alias("lifted_us"))
+    return policy.history(e, lifts).select("w", "first_txn", "account", "tier", from_micros(F.col("lifted_us")).alias("lifted"))
 
 
 @query
@@ -412,7 +513,8 @@ def held_accounts_fold(spark, d):
     seq = (F.col("w") * 1_000_000 + F.col("first_txn")).alias("seq")
     log = e.select(seq, F.lit("impose").alias("event"), "account", "tier", "imposed_us", "expires_us")
     lifts = e.select("account").distinct().where("length(account) % 2 = 0").select(F.lit(10_000_000).cast("long").alias("seq"), F.lit("lift").alias("event"), "account", F.lit(None).cast("string").alias("tier"), F.lit(None).cast("long").alias("imposed_us"), F.lit(None).cast("long").alias("expires_us"))
-    return policy.held_accounts(log.unionByName(lifts)).select("account", "tier", from_micros(F.col("expires_us")).alias("expires"))
+    last = _ledger(spark, d).agg(F.max("ts_us")).first()[0]
+    return policy.held_accounts(log.unionByName(lifts), last).select("account", "tier", from_micros(F.col("expires_us")).alias("expires"), "expired")
 
 
 @query
@@ -479,20 +581,26 @@ def ranker_scores(spark, d):
     f = feats.features(members).join(evaluate.labels(members), ["w", "first_txn"]).join(found.select("w", "first_txn", "window_start"), ["w", "first_txn"])
     f = evaluate.split(f, detect.split_time(ledger, 0.7))
     ranker = models.train(f.where("part = 'train'"), feats.vector("temporal"), feats.names_for("temporal"), "positive")
-    return f.where("part = 'test'").select("w", "first_txn", ranker.score(feats.vector("temporal")).alias("score"))
+    return f.where("part = 'test'").select("w", "first_txn", r6(ranker.score(feats.vector("temporal"))).alias("score"))
 
 
 @query
 def row_ranker_scores(spark, d):
-    v = _row_scored(spark, d)
-    ranker = models.train(v, [F.col(n) for n in rowscorer.NAMES], rowscorer.NAMES, "is_laundering")
-    return v.select("txn_id", ranker.score([F.col(n) for n in rowscorer.NAMES]).alias("score"))
+    """Fitted on the transfers before the cut, over the history of the same time; scores of those after it."""
+    both = _ledger(spark, d).join(F.broadcast(detect.split_time(_ledger(spark, d), 0.7)))
+    history, pool = both.where("ts_us < cut_us").drop("cut_us"), both.where("ts_us >= cut_us").drop("cut_us")
+    columns = [F.col(n) for n in rowscorer.NAMES]
+    ranker = models.train(rowscorer.vectors(history, history), columns, rowscorer.NAMES, "is_laundering")
+    return rowscorer.vectors(pool, history).select("txn_id", r6(ranker.score(columns)).alias("score"))
 
 
 @query
 def forest_scores(spark, d):
-    f = feats.features(_found(spark, d)[2])
-    return models.anomaly(f, f, feats.vector("temporal")).select("w", "first_txn", "anomaly")
+    """Fitted on the candidates before the cut; all are scored."""
+    ledger, found, members = _found(spark, d)
+    f = feats.features(members).join(found.select("w", "first_txn", "window_start"), ["w", "first_txn"])
+    f = evaluate.split(f, detect.split_time(ledger, 0.7))
+    return models.anomaly(f, f.where("part = 'train'"), feats.vector("temporal")).select("w", "first_txn", "anomaly")
 
 
 # Entity resolution
@@ -563,22 +671,11 @@ def decision_summary(spark, d):
     return out.select("scope", *big("n", "uncovered", "p50", "p95", "p99", "least", "most"), F.round("mean", 3).alias("mean"))
 
 
-@query
-def chain_verify(spark, d):
-    """A log of the first events with a link broken at 40 and an entry changed at 70."""
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 100").select((F.col("event_id") + 1).alias("seq"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("body"))
-    prev = lambda s: F.when(s == 1, F.lit("genesis")).otherwise(F.sha2(F.concat(F.lit("link"), (s - 1).cast("string")), 256))
-    log = e.select("seq", "body", F.when(F.col("seq") == 40, F.lit("x")).otherwise(prev(F.col("seq"))).alias("prev_hash"), F.sha2(F.concat(F.lit("link"), F.col("seq").cast("string")), 256).alias("hash"))
-    links = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("link"))
-    bad = F.when(F.col("seq") == 1, F.col("prev_hash") != "genesis").otherwise(~F.col("prev_hash").eqNullSafe(F.col("link")))
-    return log.join(links, "seq", "left").agg(F.count("*").alias("entries"), F.min(F.when(bad, F.col("seq"))).alias("first_broken"))
-
-
 def _event_log(spark, d) -> DataFrame:
     """A well-made chain of one decision an event, over all events."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_id", "ts", "user_id", "event_type", "value", "props")]
-    return chain.chained(e, "event_id", F.concat_ws("\n", *fields), chain.GENESIS["decisions"])
+    fields = [F.col("event_id"), micros(F.col("ts")), F.col("user_id"), F.col("event_type"), F.col("value").cast("decimal(20,2)"), F.col("props")]
+    return chain.chained(e, "event_id", F.concat_ws("\n", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), chain.GENESIS["decisions"])
 
 
 @query
@@ -587,6 +684,29 @@ def decision_chain(spark, d):
     return chain.verify_chain(_event_log(spark, d), F.col("body"), chain.GENESIS["decisions"])
 
 
+@query
+def chain_head(spark, d):
+    """The hash that commits to all events."""
+    return _event_log(spark, d).agg(F.max("seq").alias("entries"), F.max_by("hash", "seq").alias("last_hash"))
+
+
+@query
+def chain_verify(spark, d):
+    """The same log, whole and after each kind of change: an entry edited, a link replaced, an entry removed, the first one removed,
+    two entries exchanged."""
+    log = _event_log(spark, d)
+    seq = F.col("seq")
+    cases = {
+        "whole": log,
+        "edited": log.withColumn("body", F.when(seq == 70, F.concat("body", F.lit("!"))).otherwise(F.col("body"))),
+        "relinked": log.withColumn("prev_hash", F.when(seq == 40, F.lit("x")).otherwise(F.col("prev_hash"))),
+        "removed": log.where("seq <> 55"), "beheaded": log.where("seq <> 1"),
+        "exchanged": log.withColumn("seq", F.when(seq == 20, F.lit(21)).when(seq == 21, F.lit(20)).otherwise(seq).cast("long")),
+    }
+    out = [chain.verify_chain(rows, F.col("body"), chain.GENESIS["decisions"]).select(F.lit(name).alias("change"), "entries", "first_broken") for name, rows in cases.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def hub_accounts(spark, d):
     """Accounts on at least half of a candidate's transfers, where it has four or more."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ledgerloom.functions.scalars import SHAPES
-from ledgerloom.plans.catalog import BIAS, BUDGETS, ROW_BIAS, ROW_WEIGHTS, WEIGHTS
+from ledgerloom.operators.chain import GENESIS
+from ledgerloom.operators.rowscorer import NAMES
+from ledgerloom.plans.catalog import BIAS, BUDGETS, REPLAYED, ROW_BIAS, ROW_WEIGHTS, WEIGHTS, WORKED
 
 H = 3_600_000_000
 _SHAPES = ", ".join(f"'{s}'" for s in SHAPES)
@@ -101,14 +103,31 @@ SIZES = """, rs AS (SELECT pattern_id, count(*) AS ring_txns, min(typology) AS t
 
 
 def budgets(ks: tuple[int, ...], ranked: str = "ranked") -> str:
-    return SIZES + f""",
+    """The ground truth is that of the transfers that the ranked candidates hold, not the ledger's."""
+    return f""",
 ks AS (SELECT DISTINCT least(k, (SELECT count(*) FROM {ranked})) AS k FROM (SELECT unnest([{", ".join(map(str, ks))}, 1000000000]) AS k)),
 fl AS (SELECT cm.*, r.rank FROM cm JOIN {ranked} r ON r.w = cm.w AND r.first_txn = cm.first_txn),
-per AS (SELECT k, count(DISTINCT txn_id) AS flagged, count(DISTINCT txn_id) FILTER (is_laundering) AS tp, (SELECT sum(amount) FROM (SELECT DISTINCT txn_id, amount FROM fl f2 WHERE f2.rank <= ks.k)) AS value FROM ks JOIN fl ON fl.rank <= ks.k GROUP BY k),
+one AS (SELECT txn_id, any_value(is_laundering) AS is_laundering, any_value(pattern_id) AS pattern_id, any_value(amount) AS amount, min(rank) AS rank FROM fl GROUP BY txn_id),
+rs AS (SELECT pattern_id, count(*) AS ring_txns FROM one WHERE pattern_id > 0 GROUP BY pattern_id),
+per AS (SELECT k, count(*) AS flagged, count(*) FILTER (is_laundering) AS tp, sum(amount) AS value, coalesce(sum(amount) FILTER (NOT is_laundering), 0.0) AS fp_value FROM ks JOIN one ON rank <= k GROUP BY k),
 hits AS (SELECT k, pattern_id, count(*) AS hits FROM ks JOIN fl ON fl.rank <= ks.k WHERE pattern_id > 0 GROUP BY k, pattern_id),
 fnd AS (SELECT k, count(*) AS rings_found FROM hits JOIN rs USING (pattern_id) WHERE hits >= 0.5 * ring_txns GROUP BY k),
-tot AS (SELECT count(*) FILTER (is_laundering) AS laundering, count(DISTINCT pattern_id) FILTER (pattern_id > 0) AS rings FROM lg),
-bud AS (SELECT per.k, flagged, tp, flagged - tp AS fp, laundering - tp AS fn, coalesce(rings_found, 0) AS rings_found, rings, value, tp / CAST(flagged AS DOUBLE) AS precision, tp / CAST(laundering AS DOUBLE) AS recall FROM per LEFT JOIN fnd ON fnd.k = per.k, tot)"""
+tot AS (SELECT count(*) FILTER (is_laundering) AS laundering, count(DISTINCT pattern_id) FILTER (pattern_id > 0) AS rings FROM one),
+bu0 AS (SELECT per.k, flagged, tp, flagged - tp AS fp, laundering - tp AS fn, coalesce(rings_found, 0) AS rings_found, rings, value, fp_value, tp / CAST(flagged AS DOUBLE) AS precision, CASE WHEN laundering = 0 THEN 0.0 ELSE tp / CAST(laundering AS DOUBLE) END AS recall FROM per LEFT JOIN fnd ON fnd.k = per.k, tot),
+bud AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM bu0)"""
+
+
+#: The candidates after the cut, ranked among themselves.
+HELD = """,
+held AS (SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY score DESC, w, first_txn) AS rank FROM ranked WHERE window_start >= (SELECT origin + CAST(round((last - origin) * 0.7) AS BIGINT) FROM o))"""
+
+
+def shapes(k: int, ranked: str = "ranked") -> str:
+    return f""",
+ours AS (SELECT cm.pattern_id, cm.txn_id, r.rank FROM cm JOIN {ranked} r ON r.w = cm.w AND r.first_txn = cm.first_txn WHERE pattern_id > 0),
+size AS (SELECT pattern_id, count(DISTINCT txn_id) AS ring_txns FROM ours GROUP BY 1), hit AS (SELECT pattern_id, count(*) AS hits FROM ours WHERE rank <= {k} GROUP BY 1),
+name AS (SELECT pattern_id, min(typology) AS typology FROM lg WHERE pattern_id > 0 GROUP BY 1)
+SELECT typology, count(*) AS rings, count(*) FILTER (hits >= 0.5 * ring_txns) AS rings_found, round(count(*) FILTER (hits >= 0.5 * ring_txns) / CAST(count(*) AS DOUBLE), 6) AS rate FROM size JOIN name USING (pattern_id) LEFT JOIN hit USING (pattern_id) GROUP BY typology"""
 
 
 ROWS = ORIGIN + f""",
@@ -170,6 +189,60 @@ seq AS (
 reg AS (SELECT *, CASE WHEN i = 1 THEN 'new' WHEN tier = 'frozen' AND (fz IS NULL OR expires_us > fz) THEN 'extended' WHEN tier = 'watch' AND fz IS NULL AND expires_us > wt THEN 'extended' ELSE 'ignored' END AS outcome FROM seq)"""
 
 
+#: The replays' bound for blocks.
+BLOCKS = REPLAYED.block_score
+
+
+def replay(passes: list[tuple[int, int, bool]], worked: int = WORKED) -> str:
+    """Decisions, leases and transfers of passes (width, stride, enforces) that share a register."""
+    each = [(n, w, s, e, found(w, s) + RANKED) for n, (w, s, e) in enumerate(passes)]
+    ranked = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {sql} SELECT {n} AS pass_no, '{w}h/{s}h' AS pass, {w} AS pass_hours, {str(e).lower()} AS enforces, w, first_txn, total, accounts, round(score, 9) AS score, window_start + {w * H} AS at_us FROM ranked)" for n, w, s, e, sql in each)
+    accounts = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {sql} SELECT {n} AS pass_no, w, first_txn, acct FROM ca)" for n, w, s, e, sql in each)
+    fast = min((p for p in passes if p[2]), key=lambda p: p[0])
+    return f"""WITH {ORIGIN}, rk AS ({ranked}), rc AS ({accounts}),
+thr AS (SELECT pass_no, CASE WHEN count(*) <= {worked} THEN 0.0 ELSE list_sort(list(score), 'DESC')[{worked}] END AS thr FROM rk GROUP BY pass_no),
+asked AS (SELECT rk.*, CASE WHEN score >= {BLOCKS} AND total > 10000000 THEN 'hold_for_review' WHEN score >= {BLOCKS} THEN 'block' WHEN score >= 0.5 THEN 'hold_for_review' ELSE 'allow' END AS action FROM rk JOIN thr USING (pass_no) WHERE score >= thr),
+dec AS (SELECT *, enforces AND action = 'block' AND accounts > 25 AS declined FROM asked),
+lea AS (SELECT d.pass_no, d.pass_hours, d.w, d.first_txn, rc.acct AS account, CASE action WHEN 'block' THEN 'frozen' ELSE 'watch' END AS tier, at_us AS imposed_us, at_us + CASE action WHEN 'block' THEN pass_hours * {H} ELSE {14 * 24 * H} END AS expires_us
+    FROM dec d JOIN rc ON rc.pass_no = d.pass_no AND rc.w = d.w AND rc.first_txn = d.first_txn WHERE enforces AND action <> 'allow' AND NOT declined){REGISTER},
+frm AS (SELECT min(at_us) AS f, count(DISTINCT pass || at_us) AS windows FROM rk),
+tx AS (SELECT lg.*, f, windows, CAST(amount AS DOUBLE) AS v, ts_us >= f AS late, EXISTS (SELECT 1 FROM lea WHERE tier = 'frozen' AND lea.account = lg.src AND imposed_us <= ts_us AND ts_us < expires_us) AND ts_us >= f AS hit FROM lg, frm),
+ring AS (SELECT pattern_id, ts_us, CAST(amount AS DOUBLE) AS v, row_number() OVER (PARTITION BY pattern_id ORDER BY ts_us, txn_id) AS i FROM lg WHERE pattern_id > 0 AND is_laundering),
+seen AS (SELECT pattern_id, origin + {fast[0] * H} + CAST(ceil(greatest(0, ts_us - origin - {fast[0] * H}) / CAST({fast[1] * H} AS DOUBLE)) AS BIGINT) * {fast[1] * H} AS closure FROM ring, o WHERE i = 3),
+top AS (SELECT coalesce(sum(v), 0.0) AS ceiling_value FROM ring JOIN seen USING (pattern_id), frm WHERE ts_us >= closure AND ts_us >= f),
+dc AS (SELECT count(*) AS decisions, count(*) FILTER (action = 'block') AS blocks, count(*) FILTER (action = 'hold_for_review') AS holds, count(*) FILTER (action = 'allow') AS allows, count(*) FILTER (declined) AS declined FROM dec),
+ac AS (SELECT count(DISTINCT account) FILTER (tier = 'frozen') AS accounts_frozen, count(DISTINCT account) FILTER (tier = 'watch') AS accounts_watch FROM lea),
+fw AS (SELECT max(windows) AS windows, max(f) AS from_us, max(ts_us) - max(f) AS runway_us, count(*) FILTER (NOT late) AS unprotected, coalesce(sum(v) FILTER (NOT late AND is_laundering), 0.0) AS unprotected_laundering_value,
+    count(*) FILTER (late) AS checked, count(*) FILTER (late AND is_laundering) AS laundering, coalesce(sum(v) FILTER (late), 0.0) AS value, coalesce(sum(v) FILTER (late AND is_laundering), 0.0) AS laundering_value,
+    count(*) FILTER (hit) AS stopped, count(*) FILTER (hit AND is_laundering) AS stopped_laundering, count(*) FILTER (hit AND NOT is_laundering) AS stopped_clean, coalesce(sum(v) FILTER (hit), 0.0) AS value_stopped,
+    coalesce(sum(v) FILTER (hit AND is_laundering), 0.0) AS laundering_value_stopped, coalesce(sum(v) FILTER (hit AND NOT is_laundering), 0.0) AS clean_value_stopped, count(DISTINCT pattern_id) FILTER (hit AND is_laundering AND pattern_id > 0) AS rings_hit FROM tx),
+rr AS (SELECT *, CASE WHEN value_stopped = 0 THEN 0.0 ELSE laundering_value_stopped / value_stopped END AS precision, CASE WHEN laundering_value = 0 THEN 0.0 ELSE laundering_value_stopped / laundering_value END AS interception,
+    CASE WHEN ceiling_value = 0 THEN 0.0 ELSE laundering_value_stopped / ceiling_value END AS of_ceiling FROM fw, dc, ac, top)"""
+
+
+_REPLAY = f""" SELECT windows, decisions, blocks, holds, allows, declined, accounts_frozen, accounts_watch, unprotected, checked, laundering, stopped, stopped_laundering, stopped_clean, rings_hit, from_us, runway_us,
+{", ".join(f"round({n}, 6) AS {n}" for n in ("unprotected_laundering_value", "value", "laundering_value", "value_stopped", "laundering_value_stopped", "clean_value_stopped", "ceiling_value", "precision", "interception", "of_ceiling"))} FROM rr"""
+
+
+def fitted(rows: str, names: list[str], epochs: int = 300) -> str:
+    """Weights of the logistic ranker after full-batch steps over the rows of ``rows`` (named features and y): table ``mdl`` of one row (m, s, w, b)."""
+    k = range(1, len(names) + 1)
+    dev = lambda n: f"CASE WHEN stddev_pop({n}) < 1e-9 THEN 1.0 ELSE stddev_pop({n}) END"
+    steps = ", ".join(f"any_value(w)[{i}] - 0.1 * (sum(e * x[{i}]) / any_value(n) + 0.0001 * any_value(w)[{i}])" for i in k)
+    return f""",
+std AS (SELECT [{", ".join(f"avg({n})" for n in names)}] AS m, [{", ".join(map(dev, names))}] AS s, count(*) AS n, sum(y) AS pos FROM {rows}),
+scl AS (SELECT [{", ".join(f"({n} - m[{i}]) / s[{i}]" for i, n in zip(k, names, strict=True))}] AS x, y, n, CASE WHEN y > 0 THEN (n - pos) / pos ELSE 1.0 END AS heavy FROM {rows}, std),
+gd AS (SELECT 0 AS it, list_value({", ".join("CAST(0 AS DOUBLE)" for _ in k)}) AS w, CAST(0 AS DOUBLE) AS b
+    UNION ALL SELECT it + 1, list_value({steps}), any_value(b) - 0.1 * sum(e) / any_value(n)
+    FROM (SELECT it, w, b, x, n, (1 / (1 + exp(-(list_dot_product(w, x) + b))) - y) * heavy AS e FROM gd, scl WHERE it < {epochs}) GROUP BY it),
+mdl AS (SELECT m, s, w, b FROM gd, std WHERE it = {epochs})"""
+
+
+def scored(names: list[str]) -> str:
+    terms = " + ".join(f"({n} - m[{i}]) / s[{i}] * w[{i}]" for i, n in enumerate(names, 1))
+    return f"round(1 / (1 + exp(-({terms} + b))), 6)"
+
+
 def ceiling(geometries: list[tuple[int, int]], counted: str = "true") -> str:
     g = ", ".join(f"({w}, {s})" for w, s in geometries)
     return f"""WITH {ORIGIN}, g(window_hours, stride_hours) AS (VALUES {g}),
@@ -178,8 +251,8 @@ v AS (SELECT pattern_id, ts_us AS visible FROM r WHERE i = 3),
 x AS (SELECT r.*, visible, origin, window_hours, stride_hours, origin + window_hours * {H} + CAST(ceil(greatest(0, visible - origin - window_hours * {H}) / CAST(least(stride_hours, window_hours) * {H} AS DOUBLE)) AS BIGINT) * least(stride_hours, window_hours) * {H} AS closure
     FROM r LEFT JOIN v USING (pattern_id), o, g)
 SELECT CAST(window_hours AS BIGINT) AS window_hours, CAST(stride_hours AS BIGINT) AS stride_hours, count(DISTINCT pattern_id) AS rings, count(DISTINCT pattern_id) FILTER (visible IS NULL) AS never_visible,
-    round(coalesce(sum(amount) FILTER ({counted}), 0.0), 6) AS total, round(coalesce(sum(amount) FILTER ({counted} AND ts_us >= closure), 0.0), 6) AS stoppable,
-    round(CASE WHEN coalesce(sum(amount) FILTER ({counted}), 0.0) = 0 THEN 0.0 ELSE coalesce(sum(amount) FILTER ({counted} AND ts_us >= closure), 0.0) / sum(amount) FILTER ({counted}) END, 6) AS share
+    round(coalesce(sum(amount) FILTER ({counted}), 0.0), 6) AS total, round(coalesce(sum(amount) FILTER ({counted} AND visible IS NOT NULL AND ts_us >= closure), 0.0), 6) AS stoppable,
+    round(CASE WHEN coalesce(sum(amount) FILTER ({counted}), 0.0) = 0 THEN 0.0 ELSE coalesce(sum(amount) FILTER ({counted} AND visible IS NOT NULL AND ts_us >= closure), 0.0) / sum(amount) FILTER ({counted}) END, 6) AS share
 FROM x GROUP BY window_hours, stride_hours"""
 
 
@@ -192,6 +265,11 @@ seen AS (SELECT account, min(ts_us) AS seen_us, bool_or(is_laundering) AS dirty
 lst AS (SELECT account, seen_us + 86400000000 AS listed_us FROM seen WHERE dirty AND seen_us % 3 = 0)"""
 SHARE = LISTED + """,
 shr AS (SELECT c.w, c.first_txn, avg(CASE WHEN l.listed_us <= c.window_start THEN 1.0 ELSE 0.0 END) AS registry_share FROM cand c JOIN ca ON ca.w = c.w AND ca.first_txn = c.first_txn LEFT JOIN lst l ON l.account = ca.acct GROUP BY c.w, c.first_txn)"""
+LIFTED = f""",
+past AS (SELECT lea.*, CASE WHEN length(account) % 2 = 0 AND origin + {480 * H} >= imposed_us AND origin + {480 * H} < expires_us THEN origin + {480 * H} END AS lifted_us FROM lea, o)"""
+#: The row scorer's vectors of the fitting period itself.
+HISTORY = ROWS[ROWS.index("SELECT p.txn_id"):ROWS.index("\n),\nrsc")].replace("FROM pool p", "FROM hist p")
+CHAINED = "ev AS (SELECT event_id + 1 AS seq, concat_ws(chr(10), event_id, epoch_us(ts), user_id, coalesce(event_type, ''), coalesce(CAST(CAST(value AS DECIMAL(20, 2)) AS VARCHAR), ''), coalesce(props, '')) AS body FROM events)"
 _CAND = f"SELECT w, first_txn, {ts('window_start')} AS window_start, txns, accounts, txn_ids FROM cand"
 
 
@@ -248,8 +326,10 @@ SELECT rings, rings_found, candidates, true_candidates, tp, fp, fn, {_r('fp_valu
         "eval_by_typology": _w(f"{f}{SIZES}, ov AS (SELECT w, first_txn, pattern_id, count(*) AS hit FROM cm WHERE pattern_id > 0 GROUP BY ALL), b AS (SELECT pattern_id, max(hit) AS best FROM ov GROUP BY 1) SELECT typology, count(*) AS rings, count(*) FILTER (coalesce(best, 0) >= 0.5 * ring_txns) AS found FROM rs LEFT JOIN b USING (pattern_id) GROUP BY typology"),
         "score_fixed_weights": _w(f"{full} SELECT w, first_txn, {_r('score')} FROM scored"),
         "rank_topk": _w(f"{full} SELECT rank, w, first_txn, {_r('score')} FROM ranked WHERE rank <= 50"),
-        "eval_ranked_budgets": _w(f"{full}{budgets(BUDGETS)} SELECT k, flagged, tp, fp, fn, rings_found, rings, {_r('value', 'precision', 'recall')} FROM bud"),
-        "eval_ranked_shapes": _w(f"{full}{SIZES}, h AS (SELECT pattern_id, count(*) AS hits FROM cm JOIN ranked r ON r.w = cm.w AND r.first_txn = cm.first_txn AND rank <= 100 WHERE pattern_id > 0 GROUP BY 1) SELECT typology, count(*) AS rings, count(*) FILTER (hits >= 0.5 * ring_txns) AS rings_found, round(count(*) FILTER (hits >= 0.5 * ring_txns) / CAST(count(*) AS DOUBLE), 6) AS rate FROM rs LEFT JOIN h USING (pattern_id) GROUP BY typology"),
+        "eval_ranked_budgets": _w(f"{full}{budgets(BUDGETS)} SELECT k, flagged, tp, fp, fn, rings_found, rings, {_r('value', 'fp_value', 'precision', 'recall', 'f1')} FROM bud"),
+        "eval_heldout_budgets": _w(f"{full}{HELD}{budgets(BUDGETS, 'held')} SELECT k, flagged, tp, fp, fn, rings_found, rings, {_r('value', 'fp_value', 'precision', 'recall', 'f1')} FROM bud"),
+        "eval_heldout_shapes": _w(f"{full}{HELD}{shapes(25, 'held')}"),
+        "eval_ranked_shapes": _w(f"{full}{shapes(100)}"),
         "lift_at_budget": _w(f"{full}{budgets(BUDGETS)}, br AS (SELECT avg(CAST(is_laundering AS DOUBLE)) AS base_rate FROM lg) SELECT k, round(base_rate, 6) AS base_rate, round(precision / base_rate, 6) AS lift FROM bud, br"),
         "score_threshold": _w(f"{full}, sc AS (SELECT round(score, 9) AS score FROM scored), t AS (SELECT CASE WHEN (SELECT count(*) FROM sc) <= 50 THEN 0.0 ELSE (SELECT min(score) FROM (SELECT score FROM sc ORDER BY score DESC LIMIT 50)) END AS t) SELECT count(*) FILTER (score >= t) AS admitted, round(max(t), 6) AS threshold FROM sc, t"),
         "row_aggregates": f"WITH {LEDGER} SELECT src AS account, 'sent' AS side, count(*) AS txns, round(avg(CAST(amount AS DOUBLE)), 6) AS mean, count(DISTINCT dst) AS peers FROM lg GROUP BY src UNION ALL SELECT dst, 'received', count(*), round(avg(CAST(amount AS DOUBLE)), 6), count(DISTINCT src) FROM lg GROUP BY dst",
@@ -272,20 +352,37 @@ concat_ws('; ', CASE WHEN p0 = 'escalate' THEN 'unknown action: escalate' END, C
         "rule_decider": _w(f"{full} SELECT w, first_txn, CASE WHEN score >= 0.5 THEN 'hold_for_review' ELSE 'allow' END AS proposed, round(CASE WHEN score >= 0.5 THEN score ELSE 1 - score END, 6) AS confidence FROM ranked"),
         "leases": _w(f"{decided()} SELECT w, first_txn, account, tier, {ts('imposed_us')} AS imposed, {ts('expires_us')} AS expires FROM lea"),
         "register_state": _w(f"{decided()}{REGISTER} SELECT w, first_txn, account, tier, outcome FROM reg"),
-        "replay_summary": _w(f"""{decided()}, fz AS (SELECT * FROM lea WHERE tier = 'frozen'), st AS (SELECT lg.*, EXISTS (SELECT 1 FROM fz WHERE fz.account IN (lg.src, lg.dst) AND fz.imposed_us <= lg.ts_us AND fz.expires_us > lg.ts_us) AS hit, ts_us >= (SELECT origin FROM o) + {72 * H} AS safe, CAST(amount AS DOUBLE) AS v FROM lg),
-s AS (SELECT count(*) FILTER (hit AND safe) AS stopped, count(*) FILTER (hit AND safe AND is_laundering) AS stopped_laundering, count(*) FILTER (is_laundering AND NOT safe) AS unprotected, count(DISTINCT pattern_id) FILTER (hit AND safe AND pattern_id > 0) AS rings_hit,
-coalesce(sum(v) FILTER (hit AND safe AND is_laundering), 0.0) AS laundering_value_stopped, coalesce(sum(v) FILTER (hit AND safe AND NOT is_laundering), 0.0) AS clean_value_stopped, coalesce(sum(v) FILTER (is_laundering), 0.0) AS laundering_value FROM st)
-SELECT stopped, stopped_laundering, unprotected, rings_hit, {_r('laundering_value_stopped', 'clean_value_stopped', 'laundering_value')}, round(CASE WHEN stopped = 0 THEN 0.0 ELSE stopped_laundering / CAST(stopped AS DOUBLE) END, 6) AS precision, round(CASE WHEN laundering_value = 0 THEN 0.0 ELSE laundering_value_stopped / laundering_value END, 6) AS interception FROM s"""),
-        "held_accounts_fold": _w(f"""{decided()}, lv AS (SELECT * FROM lea WHERE length(account) % 2 <> 0 OR w * 1000000 + first_txn > 10000000)
-SELECT account, CASE WHEN bool_or(tier = 'frozen') THEN 'frozen' ELSE 'watch' END AS tier, {ts("coalesce(max(expires_us) FILTER (tier = 'frozen'), max(expires_us))")} AS expires FROM lv GROUP BY account"""),
+        "replay_summary": replay([(72, 24, True)]) + _REPLAY,
+        "replay_two_passes": replay([(72, 24, True), (24, 6, True)]) + _REPLAY,
+        "replay_narrow_enforces": replay([(72, 24, False), (24, 6, True)]) + _REPLAY,
+        "replay_by_source": replay([(72, 24, True), (24, 6, True)]) + """, oc AS (SELECT pass_no, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'extended') AS escalations, count(*) FILTER (outcome = 'ignored') AS ignored FROM reg GROUP BY pass_no)
+SELECT pass, CAST(pass_hours AS BIGINT) AS pass_hours, count(*) AS decisions, count(*) FILTER (action = 'block') AS blocks, count(*) FILTER (action = 'hold_for_review') AS holds, count(*) FILTER (action = 'allow') AS allows, count(*) FILTER (declined) AS declined,
+coalesce(any_value(new), 0) AS new, coalesce(any_value(escalations), 0) AS escalations, coalesce(any_value(ignored), 0) AS ignored FROM dec LEFT JOIN oc USING (pass_no) GROUP BY pass, pass_hours""",
+        "lease_history": _w(f"{decided()}{LIFTED} SELECT w, first_txn, account, tier, {ts('lifted_us')} AS lifted FROM past"),
+        "lease_lookup": _w(f"""{decided()}{LIFTED}, met AS (SELECT DISTINCT lg.src AS account, lg.ts_us AS at_us, tier, imposed_us, expires_us FROM lg JOIN past p ON p.account = lg.src AND imposed_us <= ts_us AND ts_us < least(expires_us, coalesce(lifted_us, expires_us))),
+one AS (SELECT *, row_number() OVER (PARTITION BY account, at_us ORDER BY tier = 'frozen' DESC, expires_us DESC, imposed_us DESC) AS i FROM met)
+SELECT account, {ts('at_us')} AS sent, tier, {ts('expires_us')} AS expires FROM one WHERE i = 1"""),
+        "ranker_scores": _w(f"""{fe}, lb AS (SELECT w, first_txn, bool_or(pattern_id <> 0) AS positive FROM cm GROUP BY w, first_txn),
+vec AS (SELECT f.w, f.first_txn, {', '.join(f'{x} AS {n}' for n, x in VECTOR.items())}, CAST(positive AS DOUBLE) AS y, c.window_start < (SELECT origin + CAST(round((last - origin) * 0.7) AS BIGINT) FROM o) AS early FROM feat f JOIN lb USING (w, first_txn) JOIN (SELECT w, first_txn, window_start FROM cand) c ON c.w = f.w AND c.first_txn = f.first_txn),
+trn AS (SELECT * FROM vec WHERE early){fitted('trn', list(VECTOR))} SELECT w, first_txn, {scored([f'vec.{n}' for n in VECTOR]).replace(' * w[', ' * mdl.w[')} AS score FROM (SELECT * FROM vec WHERE NOT early) vec, mdl""").replace("SELECT w, first_txn, round(1 /", "SELECT vec.w, vec.first_txn, round(1 /"),
+        "row_ranker_scores": _w(f"""{ROWS}, hv AS ({HISTORY}), trn AS (SELECT *, CAST(is_laundering AS DOUBLE) AS y FROM hv){fitted('trn', NAMES)} SELECT txn_id, {scored(NAMES)} AS score FROM rv, mdl"""),
+        "registry_simulated": f"""WITH {LEDGER}, seen AS (SELECT account, min(ts_us) AS seen_us, bool_or(is_laundering) AS dirty FROM (SELECT src AS account, ts_us, is_laundering FROM lg UNION ALL SELECT dst, ts_us, is_laundering FROM lg) GROUP BY account),
+u AS (SELECT *, {', '.join(f"(CAST('0x' || md5(account || ':1:{k}')[1:10] AS BIGINT) + 0.5) / CAST({1 << 40} AS DOUBLE) AS u{k}" for k in range(3))} FROM seen),
+t AS (SELECT *, seen_us + CAST(trunc(-ln(u1) * 72.0 * {H}) AS BIGINT) AS listed_us FROM u), yes AS (SELECT * FROM t WHERE dirty AND u0 < 0.30),
+no AS (SELECT *, row_number() OVER (ORDER BY u2, account) AS i FROM t WHERE NOT dirty)
+SELECT account, {ts('listed_us')} AS listed FROM yes UNION ALL SELECT account, {ts('listed_us')} FROM no WHERE i <= (SELECT CAST(floor(count(*) * 0.05 / 0.95) AS BIGINT) FROM yes)""",
+        "decision_chain": f"WITH {CHAINED} SELECT count(*) AS entries, CAST(NULL AS BIGINT) AS first_broken FROM ev",
+        "chain_head": f"WITH {CHAINED} SELECT count(*) AS entries, list_reduce(list(body ORDER BY seq), lambda a, b: sha256(a || chr(10) || b), '{GENESIS['decisions']}') AS last_hash FROM ev",
+        "held_accounts_fold": _w(f"""{decided()}, lv AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY tier = 'frozen' DESC, expires_us DESC, w, first_txn) AS i FROM lea WHERE length(account) % 2 <> 0 OR w * 1000000 + first_txn > 10000000)
+SELECT account, tier, {ts('expires_us')} AS expires, NOT (imposed_us <= last AND last < expires_us) AS expired FROM lv, o WHERE i = 1"""),
         "ceiling": ceiling([(72, 24)]),
         "ceiling_sweep": ceiling([(w, 24) for w in (72, 48, 24, 12, 6)]),
         "ceiling_in_span": ceiling([(72, 24)], f"(ts_us >= origin + {240 * H} AND ts_us < origin + {480 * H})"),
         "registry_annotate": _w(f"{f}{SHARE} SELECT w, first_txn, {_r('registry_share')} FROM shr"),
         "registry_control_ranking": _w(f"{f}{SHARE}, rr AS (SELECT w, first_txn, row_number() OVER (ORDER BY registry_share DESC, w, first_txn) AS rank FROM shr){budgets((25, 100), 'rr')} SELECT k, flagged, tp, rings_found FROM bud"),
-        "amplification": _w(f"""{full}{LISTED}, al AS (SELECT r.w, r.first_txn, acct FROM ranked r JOIN ca ON ca.w = r.w AND ca.first_txn = r.first_txn WHERE rank <= 50),
-rc AS (SELECT DISTINCT w, first_txn FROM al JOIN lst ON lst.account = acct), im AS (SELECT DISTINCT acct FROM al JOIN rc USING (w, first_txn) JOIN seen ON seen.account = acct AND dirty WHERE acct NOT IN (SELECT account FROM lst)),
-c AS (SELECT (SELECT count(*) FROM lst) AS listed, (SELECT count(*) FROM rc) AS reached, (SELECT count(*) FROM im) AS implicated) SELECT *, round(CASE WHEN listed = 0 THEN 0.0 ELSE implicated / CAST(listed AS DOUBLE) END, 6) AS ratio FROM c"""),
+        "amplification": _w(f"""{full}{LISTED}, hl AS (SELECT r.w, r.first_txn, rank, r.window_start, acct FROM ranked r JOIN ca ON ca.w = r.w AND ca.first_txn = r.first_txn), onl AS (SELECT account FROM lst WHERE account IN (SELECT acct FROM hl)),
+rc AS (SELECT DISTINCT w, first_txn FROM hl JOIN lst ON lst.account = acct AND listed_us <= hl.window_start WHERE rank <= 50), im AS (SELECT DISTINCT acct FROM hl JOIN rc USING (w, first_txn) JOIN seen ON seen.account = acct AND dirty WHERE acct NOT IN (SELECT account FROM onl)),
+c AS (SELECT (SELECT count(*) FROM onl) AS listed, (SELECT count(*) FROM rc) AS reached, (SELECT count(*) FROM im) AS implicated) SELECT *, round(CASE WHEN listed = 0 THEN 0.0 ELSE implicated / CAST(listed AS DOUBLE) END, 6) AS ratio FROM c"""),
         "client_resolution": f"WITH {CARDS} SELECT transaction_id, client_key, client FROM res",
         "link_groups": f"WITH {CARDS} SELECT rule, value, members, accepted FROM lgr",
         "link_pairs": f"WITH {CARDS} SELECT a, b, evidence, linked FROM prs",
@@ -296,13 +393,18 @@ c AS (SELECT (SELECT count(*) FROM lst) AS listed, (SELECT count(*) FROM rc) AS
         "rule_stats": _w(f"{USED} SELECT rule, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected, (SELECT count(*) FROM usd WHERE usd.rule = lgr.rule) AS used FROM lgr GROUP BY rule"),
         "time_to_decision": f"WITH {ORIGIN} SELECT txn_id, CASE WHEN st <= ts_us AND st <= last THEN st + {72 * H} - ts_us END AS wait_us, ts_us >= origin + {48 * H} AS steady FROM (SELECT *, origin + greatest(0, CAST(floor((ts_us - origin - {72 * H}) / CAST({24 * H} AS DOUBLE)) AS BIGINT) + 1) * {24 * H} AS st FROM lg, o)",
         "decision_summary": f"WITH {ORIGIN}, t AS (SELECT ts_us >= origin + {48 * H} AS steady, origin + greatest(0, CAST(floor((ts_us - origin - {72 * H}) / CAST({24 * H} AS DOUBLE)) AS BIGINT) + 1) * {24 * H} + {72 * H} - ts_us AS wait FROM lg, o), s AS (SELECT 'all' AS scope, wait FROM t UNION ALL SELECT 'steady', wait FROM t WHERE steady) SELECT scope, count(*) AS n, CAST(0 AS BIGINT) AS uncovered, CAST(quantile_disc(wait, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(wait, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(wait, 0.99) AS BIGINT) AS p99, min(wait) AS least, max(wait) AS most, round(avg(wait), 3) AS mean FROM s GROUP BY scope",
-        "chain_verify": "WITH e AS (SELECT event_id + 1 AS seq FROM events WHERE event_id < 100), l AS (SELECT seq, CASE WHEN seq = 40 THEN 'x' WHEN seq = 1 THEN 'genesis' ELSE sha256('link' || (seq - 1)) END AS prev_hash, sha256('link' || seq) AS hash FROM e), j AS (SELECT l.seq, l.prev_hash, CASE WHEN l.seq = 1 THEN 'genesis' ELSE lag(hash) OVER (ORDER BY seq) END AS link FROM l) SELECT count(*) AS entries, min(seq) FILTER (prev_hash <> link) AS first_broken FROM j",
+        "chain_verify": f"""WITH {CHAINED}, n AS (SELECT count(*) AS n FROM ev), c(change, lost, first_broken) AS (VALUES ('whole', 0, NULL), ('edited', 0, 70), ('relinked', 0, 40), ('removed', 1, 56), ('beheaded', 1, 2), ('exchanged', 0, 20))
+SELECT change, n - lost AS entries, CAST(first_broken AS BIGINT) AS first_broken FROM c, n""",
         "hub_accounts": _w(f"{f}, nn AS (SELECT w, first_txn, count(*) AS txns FROM cm GROUP BY ALL), tt AS (SELECT w, first_txn, acct, count(DISTINCT txn_id) AS touched FROM (SELECT w, first_txn, src AS acct, txn_id FROM cm UNION ALL SELECT w, first_txn, dst, txn_id FROM cm) GROUP BY ALL) SELECT w, first_txn, acct, touched FROM tt JOIN nn USING (w, first_txn) WHERE txns >= 4 AND 2 * touched >= txns"),
         "net_flow_roles": _w(f"{f} SELECT w, first_txn, acct, CASE WHEN sends > 0 AND recvs > 0 THEN 'intermediary' WHEN sends > 0 THEN 'source' ELSE 'sink' END AS role, round(out_amt - in_amt, 6) AS net FROM ca"),
         "withheld_truth": _w(f"{f} SELECT w, first_txn, count(*) FILTER (is_laundering) AS laundering, count(DISTINCT pattern_id) FILTER (pattern_id > 0) AS rings FROM cm GROUP BY w, first_txn"),
         "pattern_link": f"WITH {LEDGER} SELECT a.txn_id, min(q.pattern_id) AS pattern_id FROM lg a JOIN lg q ON q.pattern_id > 0 AND q.ts = a.ts AND q.src = a.src AND q.dst = a.dst AND q.amount = a.amount GROUP BY a.txn_id",
     }
-    wide, narrow = decided(), decided(24, 6)
-    out["replay_by_source"] = f"""WITH lea AS (SELECT * FROM (WITH RECURSIVE {wide} SELECT * FROM lea) UNION ALL SELECT * FROM (WITH RECURSIVE {narrow} SELECT * FROM lea)){REGISTER}
-SELECT CAST(pass_hours AS BIGINT) AS pass_hours, count(*) FILTER (tier = 'frozen') AS frozen, count(*) FILTER (tier = 'watch') AS watched, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'extended') AS extended, count(*) FILTER (outcome = 'ignored') AS ignored FROM reg GROUP BY pass_hours"""
+    one = lambda g: f"SELECT * FROM ({replay([(*g, True)])} SELECT '{g[0]}h/{g[1]}h' AS pass, rings_hit, laundering_value_stopped, of_ceiling FROM rr)"
+    seen = lambda g: f"SELECT * FROM (WITH RECURSIVE {found(*g) + RANKED}, rnd AS (SELECT * EXCLUDE (score, rank), round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, w, first_txn) AS rank FROM ranked){budgets((WORKED,), 'rnd')} SELECT '{g[0]}h/{g[1]}h' AS pass, rings_found, rings, recall FROM bud ORDER BY k LIMIT 1)"
+    wide, narrow = (72, 24), (24, 6)
+    out["replay_configurations"] = f"""WITH al AS ({one(wide)} UNION ALL {one(narrow)}), rcl AS ({seen(wide)} UNION ALL {seen(narrow)}), best AS (SELECT * FROM rcl ORDER BY recall DESC, pass DESC LIMIT 1),
+tg AS (SELECT * FROM ({replay([(*wide, True), (*narrow, True)])} SELECT rings_hit, laundering_value_stopped, of_ceiling FROM rr)),
+x AS (SELECT pass || ' alone' AS configuration, rings_found, rings, recall, rings_hit, laundering_value_stopped, of_ceiling FROM al JOIN rcl USING (pass) UNION ALL SELECT 'together', rings_found, rings, recall, rings_hit, laundering_value_stopped, of_ceiling FROM best, tg)
+SELECT configuration, rings_found, rings, rings_hit, {_r('recall', 'laundering_value_stopped', 'of_ceiling')} FROM x"""
     return out

@@ -9,7 +9,7 @@ from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.plans.oracles import oracles
 
 DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"registry_simulated", "ranker_scores", "row_ranker_scores", "forest_scores", "decision_chain"}
+ROWS_ONLY = {"forest_scores"}
 
 
 def test_names():
@@ -21,7 +21,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["candidates", "feat_fast_forward", "eval_ranked_budgets", "register_state", "ring_evidence", "decision_summary"])
+@pytest.mark.parametrize("name", ["candidates", "feat_fast_forward", "eval_ranked_budgets", "register_state", "ring_evidence", "decision_summary", "replay_two_passes", "eval_heldout_budgets", "ranker_scores", "chain_verify", "registry_simulated"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{DIR}/*.parquet"):

@@ -72,3 +72,21 @@ def test_labels(spark):
     _, m = setup(spark, [[1, 60], [61, 62]], ROWS, RING, RING)
     assert {r["w"]: r["positive"] for r in evaluate.labels(m).collect()} == {0: True, 1: False}
     assert m.agg(F.count("*")).first()[0] == 4
+
+
+def test_ranking_is_judged_on_its_own_transfers(spark):
+    # Of a ring of ten, the only ranked candidate holds two, both flagged: they are the ring as far as this ranking goes.
+    ring = dict.fromkeys(range(1, 11), 7)
+    led, m = setup(spark, [[1, 2, 50], [3, 4, 5, 6]], ROWS, ring, ring)
+    r = evaluate.ranked_budgets(ranked(spark, {(0, 1): 0.5}), m, led, (1,)).first()
+    assert (r["rings_found"], r["rings"], r["tp"], r["fn"], r["recall"], r["fp_value"]) == (1, 1, 2, 0, 1.0, 10.0)
+    s = evaluate.ranked_shapes(ranked(spark, {(0, 1): 0.5}), m, led, 1).collect()
+    assert [(x["rings"], x["rings_found"]) for x in s] == [(1, 1)]
+
+
+def test_separation_over_many_rows(spark):
+    rows = spark.range(5000).select((F.col("id") % 3 == 0).alias("positive"), ((F.col("id") * 7919) % 1000).cast("double").alias("x"))
+    r = evaluate.separation(rows, ["x"]).first()
+    xs = {y: sorted(float(i * 7919 % 1000) for i in range(5000) if (i % 3 == 0) == y) for y in (True, False)}
+    for name, y in (("ring", True), ("other", False)):
+        assert [r[f"{p}_{name}"] for p in ("p50", "p90", "p99")] == [xs[y][int(q * (len(xs[y]) - 1))] for q in (0.5, 0.9, 0.99)]

@@ -102,9 +102,11 @@ def test_registry(spark):
 
 def test_amplification(spark):
     led = ledger(spark, [(i, i, i, i + 1, 9) for i in (1, 2, 3, 4)], range(1, 5))
-    ranked = spark.createDataFrame([(0, 1, 1, ["1", "2", "3", "4", "5"])], "w long, first_txn long, rank long, accounts array<string>")
-    r = registry.amplification(ranked, led, spark.createDataFrame([("2", 0)], "account string, listed_us long"), 1).first()
-    assert (r["listed"], r["reached"], r["implicated"], r["ratio"]) == (1, 1, 4, 4)
+    ranked = spark.createDataFrame([(0, 1, 1, 5, ["1", "2", "3", "4", "5"])], "w long, first_txn long, rank long, window_start long, accounts array<string>")
+    listed = lambda *rows: tuple(registry.amplification(ranked, led, spark.createDataFrame(rows, "account string, listed_us long"), 1).first())
+    assert listed(("2", 0)) == (1, 1, 4, 4)
+    assert listed(("2", 0), ("77", 0)) == (1, 1, 4, 4)  # no candidate holds 77
+    assert listed(("2", 6)) == (1, 0, 0, 0)  # listed after the window's start
 
 
 def test_rowscorer(spark):
