@@ -91,12 +91,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     )
 
 
-def ledger(measured: DataFrame) -> DataFrame:
-    """The rows with ``fail_bits``, every rule evaluated once, as a stored table: verdicts read it, never the texts."""
+def judged(measured: DataFrame) -> DataFrame:
+    """The rows with ``fail_bits``."""
     bits = F.lit(0).cast("long")
     for r in rules():
         bits = bits.bitwiseOR(F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return materialise(measured.withColumn("fail_bits", bits), "quality")
+    return measured.withColumn("fail_bits", bits)
+
+
+def ledger(measured: DataFrame) -> DataFrame:
+    """The rows with ``fail_bits``, every rule evaluated once, as a stored table: verdicts read it, never the texts."""
+    return materialise(judged(measured), "quality")
 
 
 def passes(policy: str) -> Column:
@@ -116,7 +121,13 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass a policy, with all their columns, which the ledger carries as rows need not have a key."""
+    """The documents that pass a policy, with all their columns.
+
+    They go past their ledger rows in one scan: storing the ledger here would store the texts with it, as rows need not have
+    a key. The row number, which is never negative, makes the filter need what the scan has numbered, so it is applied to
+    the measurements and not written out into each of their uses.
+    """
     cols = docs.columns
-    book = ledger(measure(docs, id_col, text_col, tuple(cols)))
-    return book.where(passes(policy)).select(*[F.col(f"__carry{i}").alias(c) for i, c in enumerate(cols)])
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(cols)])
+    book = judged(measure(numbered, f"carry{cols.index(id_col)}", f"carry{cols.index(text_col)}", tuple(numbered.columns)).withColumn("__row", F.monotonically_increasing_id()))
+    return book.where(passes(policy) & (F.col("__row") >= 0)).select(*[F.col(f"__carry{i}").alias(c) for i, c in enumerate(cols)])
