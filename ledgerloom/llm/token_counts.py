@@ -4,15 +4,17 @@ A pre-token is a run of word-boundary marks with what follows it up to the next
 continues past such a mark (checked when the model is loaded), so no merge crosses a pre-token and the tokens of a text
 are those of its pre-tokens. Three steps:
 
-1. Frequencies: a row a document, its distinct pre-tokens as numbers and how often each occurs. Numbers are places in the
+1. Frequencies: the distinct pre-tokens of each document as numbers, and how often each occurs. Numbers are places in the
    list of distinct pre-tokens of the document's block, a run of documents of one task that ends at ``BLOCK_DOCS``
-   documents or ``BLOCK_WORDS`` distinct pre-tokens; that list is kept once, with the block's first document.
-2. Pieces: the blocks' lists, dealt and sorted by pre-token. Each distinct pre-token of the corpus stands in one run there;
-   the library counts it once, for all the blocks that list it.
+   documents or ``BLOCK_WORDS`` distinct pre-tokens; a row a block, numbers as compressed steps. The block's list is
+   dealt to buckets by a hash of the pre-token.
+2. Pieces: the blocks' lists, dealt by bucket. All that list a pre-token meet in its bucket, where the library counts it
+   once; back go the counts in the list's order, without the strings.
 3. A block's counts then meet its documents' frequencies, and a document's tokens are the sum of products.
 
-What is joined is a vocabulary a block, not the words of a corpus, and ids are never made. A block lists a pre-token once,
-so that the most frequent one of the corpus has a row a block: no more than one of the thousands of its block.
+What is joined is a vocabulary a block, not the words of a corpus, and ids are never kept. A block lists a pre-token once,
+so the most frequent one of the corpus is no more than one of the thousands of its block. A worker holds the distinct
+pre-tokens of one bucket; there are ``BUCKETS`` times as many buckets as shuffle partitions.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and ids give a row each; very long texts are
 counted whole (one that fills a block alone ends it); an empty table gives an empty result; other columns are not read,
@@ -22,12 +24,14 @@ whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import SLICE, caches, enter, materialise, ready, text_or_empty
 
 MARK = "▁"
-BLOCK_DOCS, BLOCK_WORDS = 16_384, 400_000
+BLOCK_DOCS, BLOCK_WORDS, BUCKETS = 16_384, 400_000, 4
+#: Between the words of a list: a byte that UTF-8 never has.
+_END = b"\xff"
 _RUN = re.compile(r" +[^ ]*")
 
 
@@ -74,15 +80,14 @@ def pieces(model_file: str) -> Pieces:
 caches("pieces", pieces.cache_clear)
 
 
-def _thin(at: np.ndarray) -> bytes:
-    """Rising numbers in two bytes each where that is enough, else in four, the low halves of all before the high ones, which hardly vary."""
-    low = (at & 0xFFFF).astype(np.uint16).tobytes()
-    return low if not len(at) or at[-1] < 1 << 16 else low + (at >> 16).astype(np.uint16).tobytes()
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32: all lowest bytes, then the next ones up, which hardly vary, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def _thick(held: bytes, n: int) -> np.ndarray:
-    halves = np.frombuffer(held, np.uint16)
-    return halves if len(halves) == n else halves[:n] | halves[n:].astype(np.uint32) << 16
+def _unpack(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(held), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
 class Block:
@@ -91,92 +96,112 @@ class Block:
     def __init__(self):
         self.places: dict[str, int] = {}
         self.heads: list[pa.RecordBatch] = []
-        self.words: list[bytes] = []
-        self.times: list[bytes] = []
-        self.distinct: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
     def add(self, text: str) -> None:
         seen, places = Counter(pre_tokens(text)), self.places
         at = np.fromiter((places.setdefault(w, len(places)) for w in seen), np.uint32, len(seen))
         n = np.fromiter(seen.values(), np.uint32, len(seen))
         order = np.argsort(at)
-        at, n = at[order], n[order]
-        # Both in as few bytes as all of a document's need; ``distinct`` tells how many that is.
-        self.words.append(_thin(at))
-        self.times.append((n.astype(np.uint8) if not len(n) or n.max() < 256 else n).tobytes())
-        self.distinct.append(len(n))
+        self.words.append(at[order])
+        self.times.append(n[order])
 
     def full(self, words: int) -> bool:
         return len(self.words) >= BLOCK_DOCS or len(self.places) >= words
 
+    def lists(self, buckets: int) -> tuple[bytes, list[dict]]:
+        """The bucket of every place, and each bucket's words in the order of their places."""
+        words = [w.encode() for w in self.places]
+        deal = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
+        order = np.argsort(deal, kind="stable")
+        found, starts = np.unique(deal[order], return_index=True)
+        pack = zstandard.ZstdCompressor(3).compress
+        held = [{"bucket": int(k), "words": pack(_END.join([words[i] for i in run]))} for k, run in zip(found, np.split(order, starts[1:]), strict=False)]
+        return _pack(deal), held
+
+    def row(self, name: int, buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+        heads = pa.Table.from_batches(self.heads).combine_chunks()
+        ends = pa.array([0, heads.num_rows], pa.int32())
+        ids, n_bytes = (pa.ListArray.from_arrays(ends, pa.concat_arrays(c.chunks)) for c in heads.columns)
+        # Steps from place to place, through the ends of documents; a document's new words are steps of one.
+        at = np.diff(np.concatenate([np.zeros(1, np.uint32), *self.words]))
+        deal, lists = self.lists(buckets)
+        made = [[name], ids, n_bytes, [[len(w) for w in self.words]], [_pack(at)], [_pack(np.concatenate(self.times))], [deal], [lists]]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], names=schema.names)
+
 
 def frequencies(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (id, n_bytes, block, list, distinct, words, times): a row a document; ``list`` is null but for the first of a block."""
+    """Rows (block, ids, n_bytes, distinct, words, times, deal, lists): a row a block of documents, stored."""
     text = text_or_empty(text_col)
     thin = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces")
-        part, made = TaskContext.get().partitionId(), 0
-        block = Block()
-
-        def close() -> pa.RecordBatch:
-            heads = pa.Table.from_batches(block.heads)
-            lists = pa.array([list(block.places), *[None] * (len(block.words) - 1)], pa.list_(pa.string()))
-            columns = [*heads.columns, pa.array([part << 32 | made] * len(block.words), pa.int64()), lists, pa.array(block.distinct, pa.int32()), pa.array(block.words, pa.binary()), pa.array(block.times, pa.binary())]
-            return pa.table(columns, names=["id", "n_bytes", "block", "list", "distinct", "words", "times"]).combine_chunks().to_batches()[0]
-
+        part, made, block, schema = TaskContext.get().partitionId(), 0, Block(), None
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            schema = schema or pa.schema({
+                "block": pa.int64(), "ids": pa.list_(b.schema.field("id").type), "n_bytes": pa.list_(pa.int64()), "distinct": pa.list_(pa.int32()),
+                "words": pa.binary(), "times": pa.binary(), "deal": pa.binary(), "lists": pa.list_(pa.struct({"bucket": pa.int32(), "words": pa.binary()})),
+            })
             heads, first = b.select(["id", "n_bytes"]), 0
             for k, t in enumerate(b.column(2).to_pylist(), 1):
                 block.add(t)
                 if block.full(block_words):
                     block.heads.append(heads.slice(first, k - first))
-                    yield close()
+                    yield block.row(part << 32 | made, buckets, schema)
                     block, first, made = Block(), k, made + 1
             if first < b.num_rows:
                 block.heads.append(heads.slice(first))
         if block.words:
-            yield close()
+            yield block.row(part << 32 | made, buckets, schema)
 
-    return materialise(thin.mapInArrow(run, f"id {thin.dtypes[0][1]}, n_bytes long, block long, list array<string>, distinct int, words binary, times binary"), "frequencies")
+    held = f"block long, ids array<{thin.dtypes[0][1]}>, n_bytes array<long>, distinct array<int>, words binary, times binary, deal binary, lists array<struct<bucket: int, words: binary>>"
+    return materialise(thin.mapInArrow(run, held), "frequencies")
 
 
 def piece_counts(listed: DataFrame, model_file: str) -> DataFrame:
-    """Rows (of, at, n) from (word, block, at): how many pieces the pre-token has, each distinct one counted once."""
+    """Rows (of, bucket, counts) from (block, bucket, words): how many pieces each listed pre-token has, each distinct one counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces")
-        model, last, count = pieces(model_file), None, 0
+        model, last, known = pieces(model_file), None, {}
         for b in batches:
-            words = b.column(0).to_pylist()
-            new = [w for before, w in zip([last, *words], words, strict=False) if w != before]
-            made, n = iter(model.count(new)), []
-            for w in words:
-                if w != last:
-                    last, count = w, next(made)
-                n.append(count)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n, pa.int32())], names=["of", "at", "n"])
+            counts = []
+            for bucket, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                words = zstandard.decompress(held).split(_END)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, model.count([w.decode() for w in new]), strict=True))
+                counts.append(_pack(np.fromiter((known[w] for w in words), np.uint32, len(words))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.binary())], names=["of", "bucket", "counts"])
 
-    return listed.select("word", "block", "at").repartition("word").sortWithinPartitions("word").mapInArrow(run, "of long, at int, n int")
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("block", "bucket", "words").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "of long, bucket int, counts binary")
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit); see the module for the cases."""
     ready(docs.sparkSession)
     held = frequencies(docs, id_col, text_col, block_words)
-    counts = piece_counts(held.where("list IS NOT NULL").select("block", F.posexplode("list").alias("at", "word")), model_file)
+    counts = piece_counts(held.select("block", F.inline("lists")), model_file)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = np.zeros(right.num_rows, np.int64)
-        table[right.column("at").to_numpy()] = right.column("n").to_numpy()
-        totals = []
-        for k, w, t in zip(*(left.column(c).to_pylist() for c in ("distinct", "words", "times")), strict=True):
-            at = _thick(w, k)
-            n = np.frombuffer(t, np.uint8 if len(t) == k else np.uint32)
-            totals.append(int(table[at] @ n.astype(np.int64)))
-        return pa.table([left.column("id"), left.column("n_bytes"), pa.array(totals, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    met = held.select("id", "n_bytes", "block", "distinct", "words", "times").groupBy("block").cogroup(counts.groupBy("of"))
-    made = met.applyInArrow(run, f"id {held.dtypes[0][1]}, n_bytes long, n_tokens long")
+        block = {c: left.column(c)[0] for c in left.column_names}
+        deal = _unpack(block["deal"].as_py())
+        table = np.zeros(len(deal), np.int64)
+        if len(deal):
+            buckets = right.column("bucket").to_numpy()
+            counts = [_unpack(c) for c in right.column("counts").to_pylist()]
+            table[np.argsort(deal, kind="stable")] = np.concatenate([counts[i] for i in np.argsort(buckets)])
+        at = np.cumsum(_unpack(block["words"].as_py()), dtype=np.uint32)
+        upto = np.concatenate([[0], np.cumsum(table[at] * _unpack(block["times"].as_py()))]).astype(np.int64)
+        ends = np.cumsum(block["distinct"].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+        totals = np.diff(upto[ends], prepend=0)
+        return pa.table([block["ids"].values, block["n_bytes"].values, pa.array(totals, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    met = held.drop("lists").groupBy("block").cogroup(counts.groupBy("of"))
+    made = met.applyInArrow(run, f"id {docs.select(F.col(f'`{id_col}`')).dtypes[0][1]}, n_bytes long, n_tokens long")
     return made.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
