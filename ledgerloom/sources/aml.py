@@ -26,13 +26,19 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("line", (F.col("before") + F.col("at") + 1).alias("no"))
 
 
+def _fields(line: Column) -> Column:
+    """The fields of a line, trimmed. A field in double quotes may hold commas, and quotes written twice; not line breaks."""
+    quoted = F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return F.transform(F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1)), lambda x: F.trim(x))
+
+
 def _transfer(is_transfer: Column) -> Column:
     """A struct of the columns of a transfer's line; a wrong number of columns is an error. Other lines give nulls, as filters
     may be moved past this."""
     line = F.when(is_transfer, F.col("line"))
-    parts = F.split(line, ",", -1)
+    parts = _fields(line)
     right = F.when(F.size(parts) == len(COLUMNS), parts).when(line.isNotNull(), F.raise_error(F.concat(F.lit("wrong number of columns: "), line)).cast("array<string>"))
-    c = {n: F.trim(F.element_at(right, i + 1)) for i, n in enumerate(COLUMNS)}
+    c = {n: F.element_at(right, i + 1) for i, n in enumerate(COLUMNS)}
     typed = {
         "ts": F.to_timestamp_ntz(c["ts"], F.lit(FORMAT)), "from_bank": normalize_bank(c["from_bank"]), "from_account": c["from_account"],
         "to_bank": normalize_bank(c["to_bank"]), "to_account": c["to_account"], "amount_received": c["amount_received"].cast(MONEY),
@@ -50,9 +56,9 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     """(bank_id, account_number, bank_name, entity_id, entity_name), the first line of every bank and account."""
-    parts = F.split("line", ",", -1)
+    parts = _fields(F.col("line"))
     names = ("bank_name", "bank_id", "account_number", "entity_id", "entity_name")
-    rows = _numbered(spark, path).where("no > 1 AND trim(line) <> ''").select("no", *[F.trim(F.element_at(parts, i + 1)).alias(n) for i, n in enumerate(names)])
+    rows = _numbered(spark, path).where("no > 1 AND trim(line) <> ''").select("no", *[F.element_at(parts, i + 1).alias(n) for i, n in enumerate(names)])
     rows = rows.withColumn("bank_id", normalize_bank(F.col("bank_id")))
     first = rows.groupBy("bank_id", "account_number").agg(F.min_by(F.struct("bank_name", "entity_id", "entity_name"), "no").alias("f"))
     return first.select("bank_id", "account_number", *[null_text(F.col(f"f.{n}")).alias(n) for n in ("bank_name", "entity_id", "entity_name")])

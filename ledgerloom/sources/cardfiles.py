@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import exact_decimal, null_number, null_text
+from ledgerloom.functions.scalars import device_fingerprint, exact_decimal, null_number, null_text
 
 #: Blocks of numbered columns, and which identity columns hold numbers.
 BLOCKS = {"c_counts": ("C", 14, "float"), "d_deltas": ("D", 15, "float"), "m_flags": ("M", 9, "string"), "v_features": ("V", 339, "float")}
@@ -48,5 +48,17 @@ def read_identities(spark: SparkSession, path: str) -> DataFrame:
     return df.select(null_number(_text(df, "TransactionID"), "int").alias("transaction_id"), *ids, null_text(_text(df, "DeviceType")).alias("device_type"), null_text(_text(df, "DeviceInfo")).alias("device_info"))
 
 
+def cards(transactions: DataFrame, identities: DataFrame) -> DataFrame:
+    """(transaction_id, is_fraud, transaction_dt, card1, addr1, d1, device) for ``entity.resolve``.
+
+    ``device`` is null without an identity that names both the device and its browser; a transaction with several
+    identities has a row for each.
+    """
+    named = identities.where("device_info IS NOT NULL AND id_31 IS NOT NULL")
+    devices = named.select("transaction_id", device_fingerprint(*map(F.col, ("device_info", "id_30", "id_31", "id_33"))).alias("device"))
+    thin = transactions.select("transaction_id", "is_fraud", "transaction_dt", "card1", "addr1", F.get("d_deltas", F.lit(0)).alias("d1"))
+    return thin.join(devices, "transaction_id", "left")
+
+
 def report(transactions: DataFrame) -> DataFrame:
     return transactions.agg(F.count("*").alias("transactions"), F.count(F.when(F.col("is_fraud"), 1)).alias("fraud"), F.min("transaction_amt").alias("least"), F.max("transaction_amt").alias("most"))

@@ -190,6 +190,15 @@ def test_aml_files(spark, tmp_path):
     assert [r["entity_id"] for r in aml.read_accounts(spark, str(tmp_path / "a.csv")).collect()] == ["E1"]
 
 
+def test_aml_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h\n"X, Inc",01,5,"E1","One ""1"", Ltd"\nY,2,6,E2,\n')
+    got = aml.read_accounts(spark, str(tmp_path / "a.csv")).orderBy("bank_id").collect()
+    assert [tuple(r) for r in got] == [("1", "5", "X, Inc", "E1", 'One "1", Ltd'), ("2", "6", "Y", "E2", None)]
+    (tmp_path / "t.csv").write_text('h\n2022/09/01 00:20,11,8000,11,"80,01",5.00,US Dollar,5.00,US Dollar,"Cheque, paper",1\n')
+    r = aml.read_transactions(spark, str(tmp_path / "t.csv")).first()
+    assert (r["to_account"], str(r["amount_paid"]), r["payment_format"], r["is_laundering"]) == ("80,01", "5.00", "Cheque, paper", True)
+
+
 def test_card_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,card1,card2,C1,C3,M1,V339\n7,1,86400,68.5,13926,404.0,1.0,,T,2.5\n")
     r = cardfiles.read_transactions(spark, str(tmp_path / "t.csv")).first()
@@ -200,6 +209,15 @@ def test_card_files(spark, tmp_path):
     assert (r["id_01"], r["id_12"], r["id_38"], r["device_type"]) == (-5.0, "NotFound", None, "mobile")
 
 
+def test_cards_with_identities(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,card1,addr1,D1\n" + "".join(f"{i},0,86400,1,{c},9,0\n" for i, c in ((1, 5), (2, 6), (3, 7), (4, 5))))
+    (tmp_path / "i.csv").write_text("TransactionID,id_30,id_31,id_33,DeviceInfo\n1,os,web,,Box\n2,os,web,,Box\n3,os,,,Box\n")
+    joined = cardfiles.cards(cardfiles.read_transactions(spark, str(tmp_path / "t.csv")), cardfiles.read_identities(spark, str(tmp_path / "i.csv")))
+    assert {r["transaction_id"]: r["device"] for r in joined.collect()} == {1: "Box|os|web|", 2: "Box|os|web|", 3: None, 4: None}
+    groups = entity.link_groups(entity.memberships(entity.resolve(joined))).collect()
+    assert [(r["rule"], r["value"], r["members"]) for r in groups] == [("device_fingerprint", "Box|os|web|", 2)]
+
+
 def test_env(tmp_path):
     (tmp_path / ".env").write_text("# c\nA='1'\nB=2\n\nbad\n")
     got = {"B": "x"}
