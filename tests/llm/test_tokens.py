@@ -126,3 +126,10 @@ def test_word_table_equals_whole_texts():
     texts = ["ÀB ÇD", "J̌ á Ω", "İstanbul ΑΣ", "don't CAN'T 's", "x y　z", "a\n\n b", "<|EndOfText|> <|endoftext|>x", "12 3.4,5", ""]
     for x in texts:
         assert np.frombuffer(e.encode([x.encode()])[0], "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 7], x
+
+
+def test_packed_blocks(spark):
+    for numbers in ([], [0], [1, 70_000, 2**32 - 1]):
+        assert token_counts._unpack(token_counts._pack(np.array(numbers, np.uint32))).tolist() == numbers
+    got = token_counts.count_tokens(frame(spark, [(1, None), (1, ""), (None, "")]).coalesce(1), PIECES).collect()
+    assert keyed(got, "n_bytes", "n_tokens") == [(1, 0, 0), (1, 0, 0), (None, 0, 0)]
